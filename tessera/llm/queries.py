@@ -15,6 +15,22 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Targets of the mixture: integer weights among siblings; "*" is for names that are not listed.
+MIXTURE = {"domain": {"*": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1, "*": 1}, "source": {"*": 1}}
+
+
+def op1_mixture(spark, sf_dir):
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), MIXTURE).selectExpr("doc_id", "substr(k_domain, 2) domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op3_secrets(spark, sf_dir):
+    from tessera.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simple8b(spark, sf_dir):
     from tessera.llm.tokenstore import token_store
 
@@ -43,4 +59,4 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_simple8b, op4_interleave, op9_histogram_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op9_histogram_topk, op10_simhash)}
