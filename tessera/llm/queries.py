@@ -43,6 +43,21 @@ def op4_interleave(spark, sf_dir):
     return interleave(table(spark, sf_dir, "documents"), n_shards=16, seed=7).drop("source")
 
 
+def op5_reply_trees(spark, sf_dir):
+    from tessera.llm.chat import conversations, digests, formatted, linear
+
+    schema = "conv_id long, turn long, role string, text string"
+    probe = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], schema)
+    turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return digests(formatted(conversations(linear(turns.unionByName(probe)))))
+
+
+def op7_spaced_seeds(spark, sf_dir):
+    from tessera.llm.decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_histogram_topk(spark, sf_dir):
     from tessera.llm.topk import histogram_topk
 
@@ -59,4 +74,4 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op9_histogram_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op7_spaced_seeds, op9_histogram_topk, op10_simhash)}
