@@ -58,6 +58,13 @@ def op7_spaced_seeds(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxic_crf(spark, sf_dir):
+    from tessera.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_histogram_topk(spark, sf_dir):
     from tessera.llm.topk import histogram_topk
 
@@ -74,4 +81,4 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op7_spaced_seeds, op9_histogram_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash)}
