@@ -52,6 +52,13 @@ def op5_reply_trees(spark, sf_dir):
     return digests(formatted(conversations(linear(turns.unionByName(probe)))))
 
 
+def op6_ngram_trie(spark, sf_dir):
+    from tessera.llm.ngrams import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, order=2))
+
+
 def op7_spaced_seeds(spark, sf_dir):
     from tessera.llm.decontaminate import overlaps
 
@@ -81,4 +88,4 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op6_ngram_trie, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash)}
