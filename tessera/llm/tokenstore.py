@@ -17,7 +17,10 @@ a row each; an empty table makes no file and gives no rows; other columns are ig
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import get_bytes, put_bytes, scratch
 
 MAGIC = b"S8BTOK01"
-BLOCK = 4096
+BLOCK = 1024
 #: Fixed values of the format: ids in a word, bits of each id; the selector is the place in this list.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 
 
-def encode(ids: np.ndarray, blocks: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def encode(ids: np.ndarray, blocks: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks, and the word offset of each block and of the end; so many blocks at a time."""
     step = blocks * BLOCK
     parts = [_encode(ids[i : i + step]) for i in range(0, max(len(ids), 1), step)]
@@ -42,33 +45,36 @@ def encode(ids: np.ndarray, blocks: int = 64) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all blocks, and the word offset of each block and of the end."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     n_blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    at = np.arange(n)
-    left = np.minimum((at // BLOCK + 1) * BLOCK, n) - at
-    take = np.ones(n, np.int64)
-    selector = np.full(n, ESCAPE, np.int64)
+    # A row for each block, with room for a full word behind its end: what stands there fits anything.
+    padded = np.zeros(n_blocks * BLOCK, np.uint64)
+    padded[:n] = ids
+    padded = padded.reshape(n_blocks, BLOCK)
+    selector = np.full((n_blocks, BLOCK), ESCAPE, np.uint8)
+    wide = np.zeros((n_blocks, BLOCK + PACKS[0][0]), np.int16)
     for s, (count, bits) in reversed(list(enumerate(PACKS))):  # from few to many, so the largest that fits stays
-        wide = np.where(ids >> np.uint64(bits) != 0, at, n)
-        gap = np.minimum.accumulate(wide[::-1])[::-1] - at  # ids before the next one that is too wide
-        want = np.minimum(count, left)
-        fits = gap >= want
-        take[fits], selector[fits] = want[fits], s
+        np.cumsum(padded >> np.uint64(bits) != 0, axis=1, out=wide[:, 1 : BLOCK + 1])
+        wide[:, BLOCK + 1 :] = wide[:, BLOCK : BLOCK + 1]
+        selector[wide[:, count : count + BLOCK] == wide[:, :BLOCK]] = s
+    selector = selector.ravel()
+    counts = np.array([c for c, _ in PACKS] + [0, 1])
     # All blocks step together: each step chooses one word in every block that isn't done.
     place = np.arange(n_blocks) * BLOCK
     ends = np.minimum(place + BLOCK, n)
     chosen = np.zeros(n, bool)
     while len(place):
         chosen[place] = True
-        place = place + take[place]
+        place = place + counts[selector[place]]
         going = place < ends
-        place, ends = place[going], ends[going]
+        if not going.all():
+            place, ends = place[going], ends[going]
     starts = np.flatnonzero(chosen)
-    sel, cnt = selector[starts], take[starts]
+    sel = selector[starts].astype(np.int64)
+    cnt = np.diff(np.append(starts, n))
     escaped = sel == ESCAPE
     where = np.cumsum(1 + escaped) - 1 - escaped
     words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
@@ -162,27 +168,57 @@ class Encoder:
     The vocabulary drops white space and never merges across it, so a text's ids are those of its pieces in order.
     """
 
-    MOST = 1_000_000
+    MOST = 500_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The worker process's own encoder, which outlives a task."""
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_tessera_encoders", {})
+        return held.setdefault(path, None) or held.update({path: Encoder(path)}) or held[path]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Letters are one word each, and a full stop or comma behind them is another: encode the letters once."""
+        known, parts = self.known, {}
+        for p in pieces:
+            if p.isalpha():
+                root, tail = p, ""
+            elif p[-1:] in (",", ".") and p[:-1].isalpha():
+                root, tail = p[:-1], p[-1]
+            else:
+                root, tail = p, None
+            parts[p] = (root.lower() if tail is not None and root.isascii() else root, tail)
+        roots = ({r for r, _ in parts.values()} | {",", "."}) - known.keys()
+        whole, one_word = [], self.tokenizer.model.tokenize
+        for r in roots:
+            if r.isascii() and r.isalpha() and r.islower():  # nothing to normalise or to part
+                known[r] = array("I", [t.id for t in one_word(r)]).tobytes()
+            else:
+                whole.append(r)
+        for r, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[r] = array("I", e.ids).tobytes()
+        for p, (r, t) in parts.items():
+            known[p] = known[r] + known[t] if t else known[r]
+
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        pieces = [(t or "").split(" ") if t is None or "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = {p for ps in pieces for p in ps if p not in self.known}
-        if new:
-            if len(self.known) > self.MOST:
-                self.known, new = {}, {p for ps in pieces for p in ps}
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        end, known = np.array([end_id], "<u4").tobytes(), self.known
-        return [b"".join([known[p] for p in ps]) + end for ps in pieces]
-
-
-def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, file_ids: int = 2_000_000, part_docs: int = 4096) -> DataFrame:
+        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.MOST:
+            self.known = {}
+        self.learn(set().union(*pieces) - self.known.keys())
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise NotImplementedError("token files are written on little-endian machines only")
+        end, find = array("I", [end_id]).tobytes(), self.known.__getitem__
+        return [b"".join(map(find, ps)) + end for ps in pieces]
+
+
+def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, file_ids: int = 1_000_000, part_docs: int = 4096) -> DataFrame:
     """Encode whole texts and write them to files in folder, in ascending doc_id order; returns file, n_ids for each.
 
     A file closes once it holds file_ids ids. Documents go to tasks by ranges of (doc_id, hash), part_docs each on
@@ -194,7 +230,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
     dealt = dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
 
     def write(batches):
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.of(vocabulary)
         keys, chunks, held, file = [], [], 0, None
 
         def flush():

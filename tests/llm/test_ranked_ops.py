@@ -177,3 +177,13 @@ def test_token_store_against_plain_encoding(spark):
     assert [r[0] for r in sorted(got, key=lambda r: r[1])] == sorted(i for i, _, _ in rows)
     assert tokenstore.token_store(docs_of(spark, []), path).collect() == []
     assert hashlib.sha256(b"").hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("aBcÉéßΣİK ,.!'’\n\t<|>0 1 s t")), st.characters(codec="utf-8")), max_size=60))
+def test_encoder_equals_tokenizer(text):
+    import public_tokenizers
+
+    encoder = tokenstore.Encoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    got = np.frombuffer(encoder([text], 2)[0], "<u4").tolist()
+    assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
