@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -73,13 +74,18 @@ def paths(nodes: DataFrame) -> DataFrame:
     up = nodes.alias("c").join(nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")), "parent", "left")
     up = cut(up.select("node", F.when(F.col("known"), F.array("parent")).otherwise(F.array().cast("array<long>")).alias("above"), F.when(F.col("known"), F.col("parent")).alias("top")))
     limit = up.count()
-    rounds = 0
-    while 2**rounds <= limit and up.where("top is not null").limit(1).count():
+    done, open_, rounds = [up.where("top is null").select("node", "above")], up.where("top is not null"), 0
+    while 2**rounds <= limit and open_.limit(1).count():  # turns in a circle never end
         further = up.select(F.col("node").alias("top"), F.col("above").alias("more"), F.col("top").alias("next"))
-        up = cut(up.join(further, "top", "left").select("node", F.concat("above", F.coalesce("more", F.array().cast("array<long>"))).alias("above"), F.col("next").alias("top")))
+        # Paths that have reached their root are set aside and join no more, but others may still lead into them.
+        grown = cut(open_.join(further, "top").select("node", F.concat("above", "more").alias("above"), F.col("next").alias("top")))
+        done.append(grown.where("top is null").select("node", "above"))
+        open_ = grown.where("top is not null")
+        up = reduce(DataFrame.unionByName, [d.withColumn("top", F.lit(None).cast("long")) for d in done], open_)
         rounds += 1
+    up = reduce(DataFrame.unionByName, done)
     parents = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = up.where("top is null").join(parents, "node", "left_anti")
+    leaves = up.join(parents, "node", "left_anti")
     return leaves.select(F.col("node").alias("leaf"), F.concat(F.reverse("above"), F.array("node")).alias("path"))
 
 

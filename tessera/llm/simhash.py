@@ -173,11 +173,6 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.kind", "k.key")
-    sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Blocks of a key; most keys are alone and end here, most others have one block.
-    blocked = keyed.join(sizes, ["kind", "key"]).withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    dealt = blocked.withColumn("p", F.explode(pairs)).groupBy("kind", "key", "p").agg(F.collect_list(F.when(F.col("own") == F.col("p.i"), F.col("fp"))).alias("l"), F.collect_list(F.when(F.col("own") != F.col("p.i"), F.col("fp"))).alias("r"))
 
     def compare(batches):
         for b in batches:
@@ -189,7 +184,19 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
             e = np.array(out, "<u8").reshape(-1, 2).view("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return dealt.select("l", "r").mapInArrow(compare, "a long, b long").distinct()
+    return block_pairs(keyed, "fp", F.col("fp")).mapInArrow(compare, "a long, b long").distinct()
+
+
+def block_pairs(keyed: DataFrame, node: str, value) -> DataFrame:
+    """l, r: arrays of value to be compared, for every pair of blocks of a key (kind, key); r is empty within a block.
+
+    Most keys are alone and end here, most others have one block; a key of many rows is split over many tasks.
+    """
+    sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocked = keyed.join(sizes, ["kind", "key"]).withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})")).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    dealt = blocked.withColumn("p", F.explode(pairs)).groupBy("kind", "key", "p").agg(F.collect_list(F.when(F.col("own") == F.col("p.i"), value)).alias("l"), F.collect_list(F.when(F.col("own") != F.col("p.i"), value)).alias("r"))
+    return dealt.select("l", "r")
 
 
 # ---- components ----
