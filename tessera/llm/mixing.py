@@ -94,7 +94,9 @@ def plan(rows: DataFrame, weights: dict[str, dict], numerator: int = 3, denomina
     partial = partial.withColumn("b", F.left("h", F.lit(3)))
     sums = partial.groupBy(*keys, "b").agg(F.sum("n_tokens").alias("s"))
     before = F.sum("s").over(Window.partitionBy(*keys).orderBy("b")) - F.col("s")
-    partial = partial.join(sums.select(*keys, "b", before.alias("before")), [*keys, "b"])
+    # Stored, or the join and the window below would reuse its partitioning by leaf, and a large leaf is one task.
+    sums = stored(sums.select(*keys, "b", before.alias("before")), "sums")
+    partial = partial.join(sums, [*keys, "b"])
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*keys, "b").orderBy("h"))
     last = partial.withColumn("upto", upto).where("upto <= rest").groupBy(*keys).agg(F.max("h").alias("last"))
     return dealt.join(last, keys, "left").select(*keys, "tokens", "share", "full", "last")
@@ -117,11 +119,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, dict], numerator: int = 3, denominator: int = 5, max_epochs: int = 4, seed: int = 11) -> DataFrame:
     """doc_id, lang, source, n_tokens and the leaf's keys of each selected row, once for each epoch that selected it."""
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    light = stored(keyed(docs).select("doc_id", "lang", "source", "k_domain", "k_lang", "k_source", tokens.alias("n_tokens")), "mix")
+    light = stored(_light(docs), "mix")
     return chosen(light, plan(light, weights, numerator, denominator, max_epochs, seed), seed)
 
 
+def _light(docs: DataFrame) -> DataFrame:
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return keyed(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "k_domain", "k_lang", "k_source", tokens.alias("n_tokens"))
+
+
+def mix_plan(docs: DataFrame, weights: dict[str, dict], numerator: int, denominator: int, max_epochs: int, seed: int) -> DataFrame:
+    """The plan alone, for chosen(keyed(docs), plan, seed)."""
+    return plan(stored(_light(docs), "mix"), weights, numerator, denominator, max_epochs, seed)
+
+
 def chosen(rows: DataFrame, leaves: DataFrame, seed: int = 11) -> DataFrame:
     """rows (with their keys) by the plan's epochs and thresholds."""
     keys = [f"k_{x}" for x in LEVELS]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, null_key
+from tessera.llm.common import cut, null_key, stored
 
 BUCKETS = 4096
 
@@ -28,6 +28,8 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list, name: str)
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
     counts = counts.withColumn("__before", F.sum("__c").over(w.orderBy(bucket)) - F.col("__c"))
     counts = counts.withColumn(f"{name}_n", F.sum("__c").over(w)).drop("__c")
+    # Stored, or the join and the window below would reuse its partitioning by keys alone, and a large key is one task.
+    counts = stored(counts, "ranks")
     inside = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
     out = df.withColumn("__in", inside).join(counts, [*keys, bucket])
     return out.withColumn(name, F.col("__before") + F.col("__in")).drop("__before", "__in")
