@@ -88,4 +88,4 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op6_ngram_trie, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op6_ngram_trie, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash, pipeline)}
