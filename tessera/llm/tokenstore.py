@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 
@@ -127,9 +128,10 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, blocks: range | None
         mine = np.flatnonzero((sel == s) & ~raw)
         if len(mine):
             mask = np.uint64((1 << bits) - 1)
-            for j in range(count):
-                has = mine[counts[mine] > j] if j else mine[counts[mine] > 0]
-                out[begin[has] + j] = words[has] >> np.uint64(4 + j * bits) & mask
+            whole = mine[counts[mine] == count]
+            out[begin[whole][:, None] + np.arange(count)] = words[whole][:, None] >> (4 + bits * np.arange(count)).astype(np.uint64) & mask
+            for i in mine[counts[mine] < count]:
+                out[begin[i] : begin[i] + counts[i]] = words[i] >> (4 + bits * np.arange(counts[i])).astype(np.uint64) & mask
     esc = np.flatnonzero((sel == ESCAPE) & ~raw)
     out[begin[esc]] = words[esc + 1]
     return out
@@ -162,13 +164,19 @@ def from_file(data) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, null, strict=True)], ends, decode(words, offsets, int(n_ids))
 
 
+#: Letters below this are Latin with marks; how byte-level vocabularies spell bytes that are not printable.
+LATIN_END = "\u0250"
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class Encoder:
     """Token ids as little-endian uint32 bytes. A piece between ASCII blanks is encoded once and remembered.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its pieces in order.
     """
 
-    MOST = 500_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
@@ -186,26 +194,24 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Letters are one word each, and a full stop or comma behind them is another: encode the letters once."""
-        known, parts = self.known, {}
+        known, whole, tails = self.known, [], []
+        for mark in (",", "."):
+            if mark not in known:
+                known[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+        one_word = self.tokenizer.model.tokenize
         for p in pieces:
-            if p.isalpha():
-                root, tail = p, ""
-            elif p[-1:] in (",", ".") and p[:-1].isalpha():
-                root, tail = p[:-1], p[-1]
-            else:
-                root, tail = p, None
-            parts[p] = (root.lower() if tail is not None and root.isascii() else root, tail)
-        roots = ({r for r, _ in parts.values()} | {",", "."}) - known.keys()
-        whole, one_word = [], self.tokenizer.model.tokenize
-        for r in roots:
-            if r.isascii() and r.isalpha() and r.islower():  # nothing to normalise or to part
-                known[r] = array("I", [t.id for t in one_word(r)]).tobytes()
+            root, tail = (p[:-1], p[-1]) if p.endswith((",", ".")) else (p, "")
+            # Latin letters in composed form: nothing to normalise but case, and nothing to part.
+            if root.isalpha() and (root.isascii() or max(root) < LATIN_END and unicodedata.is_normalized("NFC", root) and root.lower().isalpha()):
+                root = root.lower()
+                ids = known.get(root)
+                if ids is None:
+                    ids = known[root] = array("I", [t.id for t in one_word(root if root.isascii() else root.encode().decode("latin-1").translate(AS_BYTES))]).tobytes()
+                known[p] = ids + known[tail] if tail else ids
             else:
-                whole.append(r)
-        for r, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            known[r] = array("I", e.ids).tobytes()
-        for p, (r, t) in parts.items():
-            known[p] = known[r] + known[t] if t else known[r]
+                whole.append(p)
+        for p, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
