@@ -160,7 +160,9 @@ def service_keys(offered: list[str]) -> list[str]:
 def with_signals(df: DataFrame, locations: list[str], html="html", page="page", meta="meta", profiles="social_profiles", name="name", domain="domain") -> DataFrame:
     """df with the five detectors' messages in columns s_website, s_seo, s_social, s_branding, s_content."""
     h, p, m, s, n, d = (F.col(x) for x in (html, page, meta, profiles, name, domain))
-    return df.withColumns({"s_website": website(h, p), "s_seo": seo(h, p, m, locations), "s_social": social(s, n, d), "s_branding": branding(h, p, s, n, d), "s_content": content(h, p)})
+    found = F.struct(website(h, p).alias("s_website"), seo(h, p, m, locations).alias("s_seo"), social(s, n, d).alias("s_social"), branding(h, p, s, n, d).alias("s_branding"), content(h, p).alias("s_content"))
+    # Exploding one struct keeps later expressions from repeating the detectors each time they name a message list.
+    return df.withColumn("__s", F.explode(F.array(found))).select("*", "__s.*").drop("__s")
 
 
 def opportunities(offered: list[str], url="url", profiles="social_profiles") -> Column:

@@ -19,7 +19,7 @@ from tessera.streaming import registry
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-REQUEST = Request("Automobile", ["France", "Germany", "China"], keywords=["machinery"], services=["repair"], services_offered=["SEO", "Website Design", "branding"], must_have=["phone"], exclude=["customer#000000013"], target_leads=60, max_candidates_checked=900)
+REQUEST = Request("Automobile", ["Nation_1", "Nation_4", "Nation_8"], keywords=["machinery"], services=["repair"], services_offered=["SEO", "Website Design", "branding"], must_have=["phone"], exclude=["bc4ca"], target_leads=60, max_candidates_checked=900)
 
 
 def query(sql: str | None = None):
@@ -170,7 +170,7 @@ def name_normalize(spark, sf_dir):
 
 # ---- derived candidates ----
 
-_CAND_SQL = """cand as (select c_custkey as cand_id, case when c_custkey % 19 = 0 then '' when c_custkey % 23 = 0 then 'Best dentists in ' || n_name when c_custkey % 29 = 0 then 'Home' else c_name end as name,
+_CAND_SQL = """cand as (select c_custkey as cand_id, case when c_custkey % 19 = 0 then '' when c_custkey % 23 = 0 then 'Best dentists in ' || n_name when c_custkey % 29 = 0 then 'Home' else 'B' || left(md5(cast(c_custkey % 1200 as varchar)), 12) end as name,
  case when c_custkey % 6 = 0 then null when c_custkey % 31 = 0 then 'https://www.practo.com/c' || c_custkey else 'https://www.shop' || (c_custkey % 400) || '.example.com/' end as website,
  case when c_custkey % 6 = 0 then null when c_custkey % 31 = 0 then 'practo.com' else 'shop' || (c_custkey % 400) || '.com' end as domain,
  lower(c_mktsegment) as industry, case when c_custkey % 4 = 0 then 'machinery and more' else null end as description,
@@ -186,7 +186,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {
         "cand_id": k,
         "source": F.element_at(F.array(*map(F.lit, ("search", "maps", "instagram"))), (k % 3 + 1).cast("int")),
-        "name": F.when(k % 19 == 0, "").when(k % 23 == 0, F.concat(F.lit("Best dentists in "), F.col("n_name"))).when(k % 29 == 0, "Home").otherwise(F.col("c_name")),
+        "name": F.when(k % 19 == 0, "").when(k % 23 == 0, F.concat(F.lit("Best dentists in "), F.col("n_name"))).when(k % 29 == 0, "Home").otherwise(F.concat(F.lit("B"), F.left(F.md5((k % 1200).cast("string").cast("binary")), F.lit(12)))),
         "website": F.when(k % 6 == 0, F.lit(None)).when(k % 31 == 0, F.concat(F.lit("https://www.practo.com/c"), k.cast("string"))).otherwise(F.concat(F.lit("https://www."), site, F.lit(".example.com/"))),
         "domain": F.when(k % 6 == 0, F.lit(None)).when(k % 31 == 0, "practo.com").otherwise(F.concat(site, F.lit(".com"))),
         "industry": F.lower("c_mktsegment"),
@@ -213,9 +213,9 @@ _REASON = f"""case when cand_id % 97 = 0 or coalesce({_DIRECTORY}, false) then '
  when website is null and phone is null then 'Candidate has no usable public contact path'
  when not ({_any("lower(concat_ws(' ', nullif(name, ''), description, industry))", ['automobile', 'machinery'])}) then 'Industry keywords are not present in business-specific data'
  when location is null then 'Candidate has no business-specific location evidence'
- when not ({_any('lower(location)', ['france', 'germany', 'china'])}) then 'Candidate location does not match any requested location'
+ when not ({_any('lower(location)', ['nation_1', 'nation_4', 'nation_8'])}) then 'Candidate location does not match any requested location'
  when phone is null then 'Required field ''phone'' is missing'
- when contains(lower(concat_ws(' ', name, description, industry)), 'customer#000000013') then 'Candidate matches exclusion keyword: ''customer#000000013''' end"""
+ when contains(lower(concat_ws(' ', name, description, industry)), 'bc4ca') then 'Candidate matches exclusion keyword: ''bc4ca''' end"""
 _CODE = """case when contains(lower(reason), 'directory') or contains(lower(reason), 'aggregator') then 'DIRECTORY_SOURCE' when contains(lower(reason), 'listing title') or contains(lower(reason), 'identifiable business name') then 'NOT_A_BUSINESS'
  when contains(lower(reason), 'industry') then 'WRONG_INDUSTRY' when contains(lower(reason), 'location') then 'WRONG_LOCATION' when contains(lower(reason), 'contact') then 'NO_CONTACT_METHOD' else 'OTHER' end"""
 
