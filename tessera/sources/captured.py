@@ -213,7 +213,7 @@ def union(*sources: DataFrame) -> DataFrame:
 
 def robots(files: DataFrame) -> DataFrame:
     """Files (host, robots_text) with their declared site maps, in order, without repeats."""
-    lines = F.filter(F.transform(F.split(F.coalesce("robots_text", F.lit("")), "\n"), F.trim), lambda x: F.lower(x).startswith("sitemap:"))
+    lines = F.filter(F.transform(F.split(F.coalesce("robots_text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith("sitemap:"))
     return files.withColumn("sitemaps", F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))), lambda u: u != "")))
 
 
