@@ -7,6 +7,10 @@ import importlib
 from tessera.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL["op9_histogram_topk"] = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(embedding) = 64),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 5"""
 
 
 def _vocabulary() -> str:
@@ -19,6 +23,31 @@ def _vocabulary() -> str:
 MIXTURE = {"domain": {"*": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1, "*": 1}, "source": {"*": 1}}
 
 
+def _fill_sql(name: str, source: str, parents: str, key: str) -> str:
+    """CTEs that deal each parent's budget to its children (cap, w, budget), as mixing._fill does."""
+    by = f"partition by {parents}" if parents else ""
+    order = f"{by} order by cap / w, {key}"
+    return f"""{name}1 as (select *, row_number() over ({order}) rn, budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0) brem, sum(w) over ({order} rows between current row and unbounded following) wrem from {source}),
+{name}2 as (select *, min(case when cap::hugeint * wrem > w::hugeint * brem then rn end) over ({by}) f from {name}1),
+{name}3 as (select * exclude (brem, wrem), (f is null or rn < f) ok, max(case when rn = f then brem end) over ({by}) b, max(case when rn = f then wrem end) over ({by}) t from {name}2),
+{name}4 as (select *, case when ok then cap else (w::hugeint * b) // t end s, row_number() over (partition by {parents + "," if parents else ""} ok order by {key}) turn from {name}3),
+{name} as (select * exclude (s), (s + case when not ok and turn <= b - sum(case when not ok then s end) over ({by}) then 1 else 0 end)::bigint as share from {name}4)"""
+
+
+def _mixture_sql() -> str:
+    lang = "case kl " + " ".join(f"when '+{k}' then {v}" for k, v in MIXTURE["lang"].items() if k != "*") + " else 1 end"
+    return f"""with k as (select doc_id, lang, source, '+' || case when source is null then 'none' else 'd' || left(md5(source), 1) end kd, coalesce('+' || lang, '-') kl, coalesce('+' || source, '-') ks,
+ coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) n from documents),
+leaf as (select kd, kl, ks, sum(n)::bigint tokens, (sum(n) * 4)::bigint cap from k group by all),
+top as (select kd, sum(cap)::bigint cap, 1 w, (select least(sum(tokens) * 3 // 5, sum(cap))::bigint from leaf) budget from leaf group by kd), {_fill_sql("d", "top", "", "kd")},
+mid as (select kd, kl, sum(leaf.cap)::bigint cap, {lang} w, any_value(share) budget from leaf join d using (kd) group by kd, kl), {_fill_sql("l", "mid", "kd", "kl")},
+low as (select kd, kl, ks, tokens, leaf.cap, 1 w, share budget from leaf join l using (kd, kl)), {_fill_sql("s", "low", "kd, kl", "ks")},
+p as (select kd, kl, ks, share // tokens as whole, share % tokens rest from s where share > 0 and tokens > 0),
+h as (select k.*, whole, rest, md5('11|' || whole || '|' || coalesce(doc_id::varchar, 'null')) h from k join p using (kd, kl, ks)),
+c as (select *, sum(n) over (partition by kd, kl, ks order by h) upto from h), m as (select *, max(case when rest > 0 and upto <= rest then h end) over (partition by kd, kl, ks) last from c)
+select doc_id, substr(kd, 2) as domain, lang, source, n as n_tokens, unnest(range(whole + case when h <= last then 1 else 0 end))::integer as epoch from m"""
+
+
 def op1_mixture(spark, sf_dir):
     from tessera.llm.mixing import mix
 
@@ -88,4 +117,5 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
+ORACLE_SQL["op1_mixture"] = _mixture_sql()
 QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op6_ngram_trie, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash, pipeline)}
