@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.simhash import Forest, block_pairs, components, within
+from tessera.llm.simhash import Forest, block_pairs, components
 
 WIDE, SHINGLE, LEAST, RECALL = 256, 5, 0.8, 0.99
 #: Expected share of differing bits of two sets that are LEAST alike: the angle between them over pi.
@@ -122,33 +122,118 @@ def candidates(nodes: DataFrame, n: int, every: bool = False) -> DataFrame:
 
     def compare(batches):
         for b in batches:
-            out = []
-            for l, r in zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True):
-                out += compared(l, r, every)
-            e = np.array(out, np.int64).reshape(-1, 2)
+            e = compared(b.column("l").to_pylist(), b.column("r").to_pylist(), every)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     keyed = nodes.mapInArrow(keys, "kind int, key long, node long, value binary")
     return block_pairs(keyed, "node", F.col("value")).mapInArrow(compare, "a long, b long").distinct()
 
 
-def compared(left: list[bytes], right: list[bytes], every: bool) -> list[tuple[int, int]]:
-    rows = np.frombuffer(b"".join(left + right), np.uint8).reshape(-1, 16 + WIDE // 8)
-    head = np.ascontiguousarray(rows[:, :16]).view("<i8")
-    fps = np.ascontiguousarray(rows[:, 16:]).view("<u8")
-    shift, n = (len(left), len(left)) if right else (0, len(rows))
-    q, f = within(fps[:n], fps[shift:], RADIUS)
-    f = f + shift
-    ok = (q < f) & (head[q, 1] != head[f, 1])
-    q, f = q[ok], f[ok]
+def compared(lefts: list[list[bytes]], rights: list[list[bytes]], every: bool) -> np.ndarray:
+    """Links (a, b) of many keys' blocks at once: each key's left with itself, or with its right if that isn't empty."""
+    values, fps, lane_of, pairs, n_lanes = [], [], [], [], 0
+    for left, right in zip(lefts, rights, strict=True):
+        starts = []
+        for side in (left, right):  # each side begins a word of its own
+            lanes = n_lanes + np.arange(len(side))
+            lane_of.append(lanes)
+            starts.append((n_lanes >> 6, (n_lanes + len(side) + 63) >> 6, lanes))
+            values += side
+            n_lanes = starts[-1][1] << 6
+        (w0, w1, own), (v0, v1, other) = starts
+        if len(other):
+            pairs.append((np.repeat(own, v1 - v0), np.tile(np.arange(v0, v1), len(own))))
+        else:  # words from one's own on; the lanes up to one's own are masked
+            many = w1 - (own >> 6)
+            first = np.cumsum(many) - many
+            pairs.append((np.repeat(own, many), np.arange(many.sum()) - np.repeat(first, many) + np.repeat(own >> 6, many)))
+    rows = np.frombuffer(b"".join(values), np.uint8).reshape(-1, 16 + WIDE // 8)
+    lane_of = np.concatenate(lane_of) if lane_of else np.zeros(0, np.int64)
+    head, fps = np.zeros((n_lanes, 2), np.int64), np.zeros((n_lanes, WIDE // 64), np.uint64)
+    head[lane_of], fps[lane_of] = np.ascontiguousarray(rows[:, :16]).view("<i8"), np.ascontiguousarray(rows[:, 16:]).view("<u8")
+    empty = np.ones(n_lanes, bool)
+    empty[lane_of] = False
+    q, w = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+    x, y = lanes_within(fps, empty, q, w, RADIUS)
+    ok = head[x, 1] != head[y, 1]
+    x, y = x[ok], y[ok]
     if not every:
-        order = np.argsort(np.bitwise_count(fps[q] ^ fps[f]).sum(axis=1), kind="stable")
-        forest = Forest(len(rows))
-        for x, y in zip(q[order].tolist(), f[order].tolist(), strict=True):
-            forest.add(x, y)
-        q, f = (np.array([e[k] for e in forest.links], int) for k in (0, 1))
-    a, b = head[q, 0], head[f, 0]
-    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        order = np.argsort(np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1), kind="stable")
+        forest = Forest(n_lanes)
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            forest.add(i, j)
+        x, y = (np.array([e[k] for e in forest.links], np.int64) for k in (0, 1))
+    ends = np.stack([head[x, 0], head[y, 0]], axis=1)
+    return np.sort(ends, axis=1)
+
+
+def lanes_within(fps: np.ndarray, empty: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int, chunk: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes (x, y) at distance radius or less, for queries q (lanes) against words w of 64 lanes each.
+
+    Bit planes hold a bit of all lanes. For all pairs (query, word) of a chunk at once, a plane is flipped where the
+    query's bit is set, and carry-save adders count differences in vertical counters: eight planes make seven adders
+    and one carry of weight eight, which ripples on. Pairs whose lanes are all over the radius are abandoned.
+    """
+    bits = fps.shape[1] * 64
+    wide = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T
+    planes = np.packbits(np.ascontiguousarray(wide), axis=1, bitorder="little").view("<u8")
+    closed = np.packbits(empty, bitorder="little").view("<u8")
+    high = max(1, int(radius).bit_length() - 2)  # counters from weight eight up, one more than the radius needs
+    found = []
+    for lo in range(0, len(q), chunk):
+        qs, ws = q[lo : lo + chunk], w[lo : lo + chunk]
+        shift = (qs & 63).astype(np.uint64)
+        own = np.where(qs >> 6 == ws, (np.uint64(2) << shift) - np.uint64(1), np.uint64(0))  # lanes up to one's own
+        over = closed[ws] | own
+        mine = fps[qs]
+        low = [np.zeros(len(qs), np.uint64) for _ in range(3)]
+        counters = [np.zeros(len(qs), np.uint64) for _ in range(high)]
+        for b in range(0, bits, 8):
+            d = [planes[b + i][ws] ^ (np.uint64(0) - (mine[:, b >> 6] >> np.uint64((b + i) & 63) & np.uint64(1))) for i in range(8)]
+            low[0], t1 = _add(low[0], d[0], d[1])
+            low[0], t2 = _add(low[0], d[2], d[3])
+            low[1], f1 = _add(low[1], t1, t2)
+            low[0], t1 = _add(low[0], d[4], d[5])
+            low[0], t2 = _add(low[0], d[6], d[7])
+            low[1], f2 = _add(low[1], t1, t2)
+            low[2], carry = _add(low[2], f1, f2)
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
+            over |= carry
+            if b + 8 > radius and b % 32 == 24:
+                over |= _over([*low, *counters], radius)
+                live = over != FULL
+                if not live.all():
+                    qs, ws, over, mine = qs[live], ws[live], over[live], mine[live]
+                    low, counters = [c[live] for c in low], [c[live] for c in counters]
+                if not len(qs):
+                    break
+        if len(qs):
+            hit = np.unpackbits((~(over | _over([*low, *counters], radius))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            r, lane = np.nonzero(hit)
+            found.append((qs[r], ws[r] * 64 + lane))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A full adder over words: sum and carry."""
+    x = a ^ b
+    return x ^ c, a & b | x & c
+
+
+def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Where the count in the vertical counters is over the radius: compared from the top bit down."""
+    above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], FULL)
+    for i in range(len(counters) - 1, -1, -1):
+        if radius >> i & 1:
+            equal &= counters[i]
+        else:
+            above |= equal & counters[i]
+            equal &= ~counters[i]
+    return above
 
 
 def _limited(ids: DataFrame) -> DataFrame:

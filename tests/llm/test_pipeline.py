@@ -133,3 +133,27 @@ def test_stages(spark, tables):
     assert all(max(c.values()) - min(c[s] for s in range(16)) <= 2 + math.ceil(sum(c.values()) / 16 * 0.5) for c in per.values())
     run = corpus_pipeline.run(spark, path)
     assert Counter(r.doc_id for r in run.collect()) == ids["sharding"]
+
+
+def test_many_keys_at_once_equal_plain_distances():
+    rng = np.random.default_rng(3)
+    import struct
+
+    def block(n):
+        base = rng.integers(0, 2**63, (max(1, n // 4), 4), dtype=np.uint64)
+        out = []
+        for i in range(n):
+            f = base[rng.integers(0, len(base))].copy()
+            for b in rng.choice(256, int(rng.integers(0, 80)), replace=False):
+                f[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
+            out.append((int(rng.integers(0, 10**9)), int(rng.integers(0, 3)), f))
+        return out
+
+    lefts, rights = [block(n) for n in (2, 5, 64, 65, 200, 3)], [[], [], [], [], block(70), block(1)]
+    pack = lambda rows: [struct.pack("<qq", i, p) + f.astype("<u8").tobytes() for i, p, f in rows]
+    want = set()
+    for left, right in zip(lefts, rights, strict=True):
+        both = [(a, b) for a in left for b in right] if right else [(a, b) for n, b in enumerate(left) for a in left[:n]]
+        want |= {(min(a[0], b[0]), max(a[0], b[0])) for a, b in both if a[1] != b[1] and int(np.bitwise_count(a[2] ^ b[2]).sum()) <= neardup.RADIUS}
+    got = neardup.compared([pack(x) for x in lefts], [pack(x) for x in rights], True)
+    assert {tuple(e) for e in got.tolist()} == want and want
