@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that fit the model, and the most lines among them that fit the chain.
-SAMPLE_ROWS, SAMPLE_LINES = 12_000, 24_000
+SAMPLE_ROWS, SAMPLE_LINES = 8_000, 8_000
 #: Values of a token's features: the word itself, its first letters, its last letters.
 SCALE = np.array([1.0, 0.5, 0.5])
 #: ASCII bytes that are not letters or digits part tokens, but lines stay apart; other bytes belong to UTF-8 letters.
@@ -132,13 +132,17 @@ def toxic_words(docs: list[tuple[str | None, int]]) -> set[bytes]:
     clean = list(dict.fromkeys(t for t, y in docs if not y))
     if not toxic or not clean:
         return set()
-    before: dict[bytes, set] = defaultdict(set)
+    often: Counter = Counter()
+    for t in toxic:
+        often.update({w for line in lines_of(t) for w in line})
+    share = len(toxic) / len(docs)
+    least = max(4, math.ceil((math.log(len(often)) + 2) / -math.log(min(share, 0.5))))
+    before: dict[bytes, set] = {w: set() for w, n in often.items() if n >= least}
     for t in toxic:
         for line in lines_of(t):
             for a, b in zip([b"", *line], line, strict=False):
-                before[b].add(hash(a))
-    share = len(toxic) / len(docs)
-    least = max(4, math.ceil((math.log(len(before)) + 2) / -math.log(min(share, 0.5))))
+                if b in before:
+                    before[b].add(a)
     count = {w: len(s) for w, s in before.items() if len(s) >= least}
     seen: Counter = Counter()
     for t in clean:
@@ -165,8 +169,12 @@ def fit(docs: list[tuple[str | None, int]], rounds: int = 100, step: float = 1.0
     flat = [w for line in lines for w in line]
     lengths = np.array([len(x) for x in lines], np.int64)
     gold = np.array([w in bad for w in flat], float)
-    seen = Counter(f for w, n in Counter(flat).items() for f in features(w) for _ in range(min(n, 5)))
+    seen: Counter = Counter()
+    for w, n in Counter(flat).items():
+        for f in features(w):
+            seen[f] += n
     index = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= 5)}
+    del seen
     kinds = {w: k for k, w in enumerate(dict.fromkeys(flat))}
     type_of = np.array([kinds[w] for w in flat])
     table = np.array([[index.get(f, len(index)) for f in features(w)] for w in kinds])
