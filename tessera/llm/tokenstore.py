@@ -54,11 +54,15 @@ def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # A row for each block, with room for a full word behind its end: what stands there fits anything.
     padded = np.zeros(n_blocks * BLOCK, np.uint64)
     padded[:n] = ids
-    padded = padded.reshape(n_blocks, BLOCK)
+    most = int(ids.max())
+    padded = padded.reshape(n_blocks, BLOCK).astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
     selector = np.full((n_blocks, BLOCK), ESCAPE, np.uint8)
     wide = np.zeros((n_blocks, BLOCK + PACKS[0][0]), np.int16)
     for s, (count, bits) in reversed(list(enumerate(PACKS))):  # from few to many, so the largest that fits stays
-        np.cumsum(padded >> np.uint64(bits) != 0, axis=1, out=wide[:, 1 : BLOCK + 1])
+        if most >> bits == 0:
+            selector[:] = s
+            continue
+        np.cumsum(padded >= padded.dtype.type(1 << bits), axis=1, out=wide[:, 1 : BLOCK + 1])
         wide[:, BLOCK + 1 :] = wide[:, BLOCK : BLOCK + 1]
         selector[wide[:, count : count + BLOCK] == wide[:, :BLOCK]] = s
     selector = selector.ravel()
@@ -176,13 +180,13 @@ class Encoder:
     The vocabulary drops white space and never merges across it, so a text's ids are those of its pieces in order.
     """
 
-    MOST = 1_000_000
+    PIECES, ROOTS = 400_000, 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.roots = Tokenizer.from_file(path), {}, {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -194,7 +198,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Letters are one word each, and a full stop or comma behind them is another: encode the letters once."""
-        known, whole, tails = self.known, [], []
+        known, roots, whole = self.known, self.roots, []
         for mark in (",", "."):
             if mark not in known:
                 known[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
@@ -204,9 +208,9 @@ class Encoder:
             # Latin letters in composed form: nothing to normalise but case, and nothing to part.
             if root.isalpha() and (root.isascii() or max(root) < LATIN_END and unicodedata.is_normalized("NFC", root) and root.lower().isalpha()):
                 root = root.lower()
-                ids = known.get(root)
+                ids = roots.get(root)
                 if ids is None:
-                    ids = known[root] = array("I", [t.id for t in one_word(root if root.isascii() else root.encode().decode("latin-1").translate(AS_BYTES))]).tobytes()
+                    ids = roots[root] = array("I", [t.id for t in one_word(root if root.isascii() else root.encode().decode("latin-1").translate(AS_BYTES))]).tobytes()
                 known[p] = ids + known[tail] if tail else ids
             else:
                 whole.append(p)
@@ -215,8 +219,10 @@ class Encoder:
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.MOST:
+        if len(self.known) > self.PIECES:
             self.known = {}
+        if len(self.roots) > self.ROOTS:
+            self.roots = {}
         self.learn(set().union(*pieces) - self.known.keys())
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise NotImplementedError("token files are written on little-endian machines only")
@@ -275,7 +281,8 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins + base), pa.array(ends - begins), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = starts.repartition(F.col("file"))
+    # As many tasks as files, up to a bound: rows this small would else be put together in one.
+    spread = starts.repartition(max(1, min(10_000, files.count())), F.col("file"))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
