@@ -165,7 +165,22 @@ def matches(a: _Entity, b: _Entity) -> bool:
         return False
     if a.key and a.key == b.key:
         return True
-    return bool(a.name and b.name) and len(a.name) >= NEAR_LETTERS and len(b.name) >= NEAR_LETTERS and similarity(a.name, b.name) >= NEAR
+    return bool(a.name and b.name) and len(a.name) >= NEAR_LETTERS and len(b.name) >= NEAR_LETTERS and near(a.name, b.name)
+
+
+#: Pairs of names that a task has judged.
+_JUDGED: dict[tuple[str, str], bool] = {}
+
+
+def near(a: str, b: str) -> bool:
+    """Tier 5 for two names, in this order; lengths too far apart cannot match enough letters."""
+    if (a, b) not in _JUDGED:
+        if len(_JUDGED) > 500_000:
+            _JUDGED.clear()
+        x, y = a.lower().strip(), b.lower().strip()
+        short, long = sorted((len(x), len(y)))
+        _JUDGED[a, b] = short >= long * (NEAR / (2 - NEAR)) - 1e-9 and similarity(x, y) >= NEAR
+    return _JUDGED[a, b]
 
 
 def _live(block: pd.DataFrame) -> list[int]:
