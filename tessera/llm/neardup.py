@@ -10,7 +10,9 @@ fingerprint cannot tell that reliably, so here it has WIDE bits, counted by carr
 3. Texts with an equal key are compared bit-sliced; those within the radius (the expected distance at the threshold
    and three standard deviations) are candidates. Each comparison emits a spanning forest of its candidates.
 4. Candidates are checked exactly. Where a check fails, the forest may hide a true link, so the texts of that component
-   go through 3 once more, which then emits every candidate between groups that the checks left apart.
+   go through 3 once more for every candidate of two groups that the checks left apart. Keys that would emit more than
+   DENSE candidates a text emit their texts instead; those are compared with their shingle sets in hand, and only true
+   links come out.
 5. Components over the checked links are the groups; the smallest doc_id of each stays.
 
 Edge cases: texts of fewer than five words are one shingle; null and blank texts are one text without words; rows that
@@ -37,6 +39,10 @@ WIDE, SHINGLE, LEAST, RECALL = 256, 5, 0.8, 0.99
 #: Expected share of differing bits of two sets that are LEAST alike: the angle between them over pi.
 SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 RADIUS = int(WIDE * SHARE + 3 * math.sqrt(WIDE * SHARE * (1 - SHARE)))
+#: Texts in a block that is compared with shingle sets in hand.
+EXACT_BLOCK = 1024
+#: Candidates a text that a key may emit before its texts are compared with their sets instead.
+DENSE = 4
 #: Largest table of ids that is sent to all executors.
 BROADCAST_IDS = 1_000_000
 
@@ -106,8 +112,13 @@ def samples(n: int) -> list[np.ndarray]:
     return [rng.permutation(WIDE)[:k] for _ in range(many)]
 
 
-def candidates(nodes: DataFrame, n: int, every: bool = False) -> DataFrame:
-    """a, b: pairs of nodes (node, fp, part) within the radius: a spanning forest, or every pair of different parts."""
+def candidates(nodes: DataFrame, n: int, mode: str = "forest") -> DataFrame:
+    """a, b: pairs of nodes (node, fp, part) of different parts within the radius.
+
+    mode: a spanning "forest" of them; or "every" one, where dense keys give (node, node) for each of their nodes; or
+    "exact", where nodes hold their shingle sets: links that are alike enough, a spanning forest of the parts.
+    """
+    exact = mode == "exact"
     drawn = samples(n)
 
     def keys(batches):
@@ -115,21 +126,30 @@ def candidates(nodes: DataFrame, n: int, every: bool = False) -> DataFrame:
             fps = b.column("fp").to_pylist()
             bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
             node, part = b.column("node").to_numpy(), b.column("part").to_numpy()
-            value = pa.array([struct.pack("<qq", x, y) + f for x, y, f in zip(node.tolist(), part.tolist(), fps, strict=True)], pa.binary())
+            sets = b.column("set").to_pylist() if exact else [b""] * len(fps)
+            value = pa.array([struct.pack("<qq", x, y) + f + z for x, y, f, z in zip(node.tolist(), part.tolist(), fps, sets, strict=True)], pa.binary())
             for kind, s in enumerate(drawn):
                 key = bits[:, s].astype(np.int64) @ (1 << np.arange(len(s), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(node), value], names=["kind", "key", "node", "value"])
 
     def compare(batches):
         for b in batches:
-            e = compared(b.column("l").to_pylist(), b.column("r").to_pylist(), every)
+            e = compared(b.column("l").to_pylist(), b.column("r").to_pylist(), mode)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     keyed = nodes.mapInArrow(keys, "kind int, key long, node long, value binary")
-    return block_pairs(keyed, "node", F.col("value")).mapInArrow(compare, "a long, b long").distinct()
+    return block_pairs(keyed, "node", F.col("value"), EXACT_BLOCK if exact else None).mapInArrow(compare, "a long, b long").distinct()
+
+
+HEAD = 16 + WIDE // 8
 
 
-def compared(lefts: list[list[bytes]], rights: list[list[bytes]], every: bool) -> np.ndarray:
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= LEAST * (len(x) + len(y) - both)
+
+
+def compared(lefts: list[list[bytes]], rights: list[list[bytes]], mode: str) -> np.ndarray:
     """Links (a, b) of many keys' blocks at once: each key's left with itself, or with its right if that isn't empty."""
     values, fps, lane_of, pairs, n_lanes = [], [], [], [], 0
     for left, right in zip(lefts, rights, strict=True):
@@ -147,7 +167,7 @@ def compared(lefts: list[list[bytes]], rights: list[list[bytes]], every: bool) -
             many = w1 - (own >> 6)
             first = np.cumsum(many) - many
             pairs.append((np.repeat(own, many), np.arange(many.sum()) - np.repeat(first, many) + np.repeat(own >> 6, many)))
-    rows = np.frombuffer(b"".join(values), np.uint8).reshape(-1, 16 + WIDE // 8)
+    rows = np.frombuffer(b"".join([v[:HEAD] for v in values]), np.uint8).reshape(-1, HEAD)
     lane_of = np.concatenate(lane_of) if lane_of else np.zeros(0, np.int64)
     head, fps = np.zeros((n_lanes, 2), np.int64), np.zeros((n_lanes, WIDE // 64), np.uint64)
     head[lane_of], fps[lane_of] = np.ascontiguousarray(rows[:, :16]).view("<i8"), np.ascontiguousarray(rows[:, 16:]).view("<u8")
@@ -157,12 +177,29 @@ def compared(lefts: list[list[bytes]], rights: list[list[bytes]], every: bool) -
     x, y = lanes_within(fps, empty, q, w, RADIUS)
     ok = head[x, 1] != head[y, 1]
     x, y = x[ok], y[ok]
-    if not every:
-        order = np.argsort(np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1), kind="stable")
-        forest = Forest(n_lanes)
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+    sizes = np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)], np.int64)
+    key_of = np.repeat(np.arange(len(lefts)), sizes)
+    if mode == "every":
+        of_lane = np.zeros(n_lanes, np.int64)
+        of_lane[lane_of] = key_of
+        dense = np.bincount(of_lane[x], minlength=len(sizes)) > DENSE * sizes
+        thin, whole = ~dense[of_lane[x]], head[lane_of[dense[key_of]], 0]
+        ends = np.sort(np.stack([head[x[thin], 0], head[y[thin], 0]], axis=1), axis=1)
+        return np.concatenate([ends, np.stack([whole, whole], axis=1)])
+    # Nearest first, ties by node, so that keys which hold the same nodes agree on their forest.
+    order = np.lexsort((head[y, 0], head[x, 0], np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)))
+    forest = Forest(n_lanes)
+    if mode == "exact":
+        sets = dict(zip(lane_of.tolist(), (np.frombuffer(v, np.uint64, -1, HEAD) if len(v) > HEAD else np.zeros(0, np.uint64) for v in values), strict=True))
+        first: dict = {}
+        for lane, key in zip(lane_of.tolist(), key_of.tolist(), strict=True):  # a part's nodes are one already
+            forest.up[lane] = first.setdefault((key, int(head[lane, 1])), lane)
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        if mode == "forest":
+            forest.add(i, j)
+        elif forest.find(i) != forest.find(j) and alike(sets[i], sets[j]):
             forest.add(i, j)
-        x, y = (np.array([e[k] for e in forest.links], np.int64) for k in (0, 1))
+    x, y = (np.array([e[k] for e in forest.links], np.int64) for k in (0, 1))
     ends = np.stack([head[x, 0], head[y, 0]], axis=1)
     return np.sort(ends, axis=1)
 
@@ -241,25 +278,25 @@ def _limited(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) with alike: whether their texts' shingle sets are at least LEAST alike."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and set: the shingle hashes of the nodes' texts, as bytes."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t.as_py())[1].tobytes() for t in b.column("text")], pa.binary())], names=["node", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_limited(ids), "doc_id")
-    held = cut(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_limited(nodes.select(F.col("node").alias("doc_id"))), "doc_id")
+    return cut(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+
+
+def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) with alike: whether their texts' shingle sets are at least LEAST alike."""
+    held = with_sets(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs)
 
     def judge(batches):
         for b in batches:
-            alike = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(both >= LEAST * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+            said = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(said, pa.bool_())], names=["a", "b", "alike"])
 
     joined = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return cut(joined.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, alike boolean"))
@@ -278,9 +315,13 @@ def groups(docs: DataFrame) -> DataFrame:
         doubtful = failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct()
         parts = components(links)
         again = near.join(doubtful, "root", "left_semi").join(parts.select("node", F.col("root").alias("part")), "node", "left")
-        again = texts.select("node", "fp").join(again.select("node", F.coalesce("part", "node").alias("part")), "node")
-        more = cut(candidates(cut(again), n, every=True).join(failed.select("a", "b"), ["a", "b"], "left_anti"))
-        links = links.unionByName(checked(more, docs).where("alike").select("a", "b"))
+        again = cut(texts.select("node", "fp").join(again.select("node", F.coalesce("part", "node").alias("part")), "node"))
+        rows = cut(candidates(again, n, "every").join(failed.select("a", "b"), ["a", "b"], "left_anti"))
+        links = links.unionByName(checked(rows.where("a != b"), docs).where("alike").select("a", "b"))
+        dense = cut(rows.where("a = b").select(F.col("a").alias("node")).distinct())
+        if dense.limit(1).count():
+            held = again.join(dense, "node").join(with_sets(dense, docs), "node")
+            links = links.unionByName(cut(candidates(held, n, "exact")))
     roots = components(links)
     named = texts.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("group"))
     return light.where("doc_id is not null").join(named, "words").groupBy("doc_id").agg(F.min("group").alias("group"))

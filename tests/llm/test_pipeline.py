@@ -58,7 +58,9 @@ def slow_groups(rows):
     return {i: find(i) for i in ids}
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("dense", [4, 0])
+def test_groups_against_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(neardup, "DENSE", dense)  # 0: every key with candidates is compared with sets
     rows = near_rows()
     df = docs_of(spark, rows)
     want = slow_groups(rows)
@@ -155,5 +157,23 @@ def test_many_keys_at_once_equal_plain_distances():
     for left, right in zip(lefts, rights, strict=True):
         both = [(a, b) for a in left for b in right] if right else [(a, b) for n, b in enumerate(left) for a in left[:n]]
         want |= {(min(a[0], b[0]), max(a[0], b[0])) for a, b in both if a[1] != b[1] and int(np.bitwise_count(a[2] ^ b[2]).sum()) <= neardup.RADIUS}
-    got = neardup.compared([pack(x) for x in lefts], [pack(x) for x in rights], True)
-    assert {tuple(e) for e in got.tolist()} == want and want
+    got = {tuple(e) for e in neardup.compared([pack(x) for x in lefts], [pack(x) for x in rights], "forest").tolist()}
+    assert got <= want and want
+
+    def groups(edges):
+        up = {}
+
+        def find(x):
+            up.setdefault(x, x)
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[find(a)] = find(b)
+        out = defaultdict(set)
+        for x in list(up):
+            out[find(x)].add(x)
+        return {frozenset(x) for x in out.values()}
+
+    assert groups(got) == groups(want)
