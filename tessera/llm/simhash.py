@@ -187,13 +187,14 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return block_pairs(keyed, "fp", F.col("fp")).mapInArrow(compare, "a long, b long").distinct()
 
 
-def block_pairs(keyed: DataFrame, node: str, value) -> DataFrame:
+def block_pairs(keyed: DataFrame, node: str, value, block: int | None = None) -> DataFrame:
     """l, r: arrays of value to be compared, for every pair of blocks of a key (kind, key); r is empty within a block.
 
     Most keys are alone and end here, most others have one block; a key of many rows is split over many tasks.
     """
+    block = block or BLOCK
     sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocked = keyed.join(sizes, ["kind", "key"]).withColumn("blocks", F.expr(f"int((n + {BLOCK - 1}) div {BLOCK})")).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    blocked = keyed.join(sizes, ["kind", "key"]).withColumn("blocks", F.expr(f"int((n + {block - 1}) div {block})")).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
     dealt = blocked.withColumn("p", F.explode(pairs)).groupBy("kind", "key", "p").agg(F.collect_list(F.when(F.col("own") == F.col("p.i"), value)).alias("l"), F.collect_list(F.when(F.col("own") != F.col("p.i"), value)).alias("r"))
     return dealt.select("l", "r")
