@@ -4,11 +4,13 @@ Documents are near duplicates if their sets of five-word shingles are at least 0
 fingerprint cannot tell that reliably, so here it has WIDE bits, counted by carry-save adders:
 
 1. Texts with the same words are folded. What follows sees one row for each different text.
-2. Keys are samples of the fingerprint's bits. A pair at the threshold differs in a share q of the bits, so it agrees
-   on a sample of k bits with (1-q)**k; as many samples are drawn as find such a pair with probability RECALL. k follows
-   the number of texts, so that keys stay short lists.
-3. Texts with an equal key are compared bit-sliced; those within the radius (the expected distance at the threshold
-   and three standard deviations) are candidates. Each comparison emits a spanning forest of its candidates.
+2. Keys are the texts' prefixes: in one order of all shingles, those of a set of n up to the first that sets LEAST alike
+   must share, n - LEAST n + 1 of them. Two such sets always have a shingle of their prefixes in common, whatever the
+   order, so no link is lost for want of a key. Shingles that a sample shows often come last, so that keys stay short
+   lists. Keys that bring the same texts together are one.
+3. Texts with an equal key and sizes that allow it are compared bit-sliced; those within the radius are candidates. The
+   radius is so wide that the fingerprints of two sets LEAST alike lie beyond it with a chance under MISSED at any size.
+   Each comparison emits a spanning forest of its candidates.
 4. Candidates are checked exactly. Where a check fails, the forest may hide a true link, so the texts of that component
    go through 3 once more for every candidate of two groups that the checks left apart. Keys that would emit more than
    DENSE candidates a text emit their texts instead; those are compared with their shingle sets in hand, and only true
@@ -35,10 +37,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 from tessera.llm.simhash import Forest, block_pairs, components
 
-WIDE, SHINGLE, LEAST, RECALL = 256, 5, 0.8, 0.99
-#: Expected share of differing bits of two sets that are LEAST alike: the angle between them over pi.
-SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
-RADIUS = int(WIDE * SHARE + 3 * math.sqrt(WIDE * SHARE * (1 - SHARE)))
+WIDE, SHINGLE, LEAST, MISSED = 256, 5, 0.8, 1e-9
+#: Largest chance that a bit differs between two sets that are LEAST alike: 4 shingles and the same with one more.
+SHARE = 3 / 16
+
+
+def _radius() -> int:
+    """The least distance that differing bits exceed with a chance under MISSED."""
+    tail, r = 0.0, WIDE
+    while tail < MISSED:
+        tail += math.comb(WIDE, r) * SHARE**r * (1 - SHARE) ** (WIDE - r)
+        r -= 1
+    return r + 1
+
+
+RADIUS = _radius()
+#: Texts that show which shingles are common, in how many of them such a one is, and how many are held at most. They set
+#: the order of the keys, and with it the work; links do not depend on them.
+SAMPLE_TEXTS, COMMON, MOST_COMMON = 4096, 4, 100_000
+#: Keys of a shard of the prefixes.
+SHARD_KEYS = 500_000
 #: Texts in a block that is compared with shingle sets in hand.
 EXACT_BLOCK = 1024
 #: Candidates a text that a key may emit before its texts are compared with their sets instead.
@@ -95,53 +113,130 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
 
 
+def prefix(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last, of which every set that is LEAST alike holds one in its own."""
+    if len(common) and len(h):
+        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~often], h[often]])
+    return h[: len(h) - math.ceil(LEAST * len(h) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that stand in COMMON or more different texts of a sample."""
+    every = max(1, docs.select("doc_id").count() // SAMPLE_TEXTS)
+
+    def run(batches):
+        for b in batches:
+            for t in b.column("text"):
+                words, h = shingles(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["words", "set"])
+
+    def split(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("set").to_pylist()), np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(every)) == 0).select("text")
+    held = some.mapInArrow(run, "words binary, set binary").dropDuplicates(["words"]).select("set").mapInArrow(split, "h long")
+    rows = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, words (their digest), fp, size (number of shingles) and prefix (hashes as bytes) of each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
     def run(batches):
+        common = sent.value
         for b in batches:
-            out = [(d, wide_fingerprint(h)) for d, h in (shingles(t.as_py()) for t in b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["doc_id", "words", "fp"])
+            out = [(d, wide_fingerprint(h), len(h), prefix(h, common).tobytes()) for d, h in (shingles(t.as_py()) for t in b.column("text"))]
+            cols = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "words", "fp", "size", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words binary, fp binary, size int, prefix binary")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words binary, fp binary")
 
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """key, node: the nodes that share a shingle of their prefixes, once for each different set of nodes."""
+    total = texts.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    n_shards = 1 + total // (8 * SHARD_KEYS)
 
-def samples(n: int) -> list[np.ndarray]:
-    """Bit samples for n texts: fixed by n alone."""
-    k = max(4, min(30, round(math.log2(max(n, 1) / 32))))
-    many = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - SHARE) ** k))
-    rng = np.random.default_rng(17)
-    return [rng.permutation(WIDE)[:k] for _ in range(many)]
+    def deal(batches):
+        for b in batches:
+            parts = b.column("prefix").to_pylist()
+            h = np.frombuffer(b"".join(parts), np.uint64)
+            node = np.repeat(b.column("node").to_numpy(), [len(x) // 8 for x in parts])
+            shard = (h % np.uint64(n_shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            h, node, shard = h[order], node[order], shard[order]
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            rows = [(int(shard[i]), h[i:j].tobytes(), node[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(h)], strict=True)] if cuts else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "h", "node"])
+
+    def meet(batches):
+        now, held = None, []
+        for b in batches:
+            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "h", "node")), strict=True):
+                if s != now and held:
+                    yield _met(held)
+                    held = []
+                now = s
+                held.append(row)
+        if held:
+            yield _met(held)
+
+    dealt = texts.select("node", "prefix").mapInArrow(deal, "shard int, h binary, node binary").repartitionById(n_shards, F.col("shard"))
+    return cut(dealt.sortWithinPartitions("shard").mapInArrow(meet, "key long, node long").distinct())
 
 
-def candidates(nodes: DataFrame, n: int, mode: str = "forest") -> DataFrame:
-    """a, b: pairs of nodes (node, fp, part) of different parts within the radius.
+def _met(rows: list) -> pa.RecordBatch:
+    """key and node of a shard's shingles that two nodes or more have; a key is a sum over its nodes.
+
+    Sets of nodes whose sums collide become one set, in which more is compared, not less.
+    """
+    h, node = (np.frombuffer(b"".join([r[k] for r in rows]), kind) for k, kind in ((0, np.uint64), (1, np.int64)))
+    order = np.lexsort((node, h))
+    h, node = h[order], node[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+    h, node = h[new], node[new]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    many = np.diff(np.append(first, len(h)))
+    x = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    key = np.add.reduceat(x ^ x >> np.uint64(32), first)
+    _, at = np.unique(key, return_index=True)
+    chosen = np.zeros(len(first), bool)
+    chosen[at] = True
+    chosen = (chosen & (many > 1)).repeat(many)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).repeat(many)[chosen]), pa.array(node[chosen])], names=["key", "node"])
+
+
+def candidates(nodes: DataFrame, keys: DataFrame, mode: str = "forest") -> DataFrame:
+    """a, b: pairs of nodes (node, fp, size, part) of different parts that share a key and lie within the radius.
 
     mode: a spanning "forest" of them; or "every" one, where dense keys give (node, node) for each of their nodes; or
     "exact", where nodes hold their shingle sets: links that are alike enough, a spanning forest of the parts.
     """
     exact = mode == "exact"
-    drawn = samples(n)
 
-    def keys(batches):
+    def pack(batches):
         for b in batches:
-            fps = b.column("fp").to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-            node, part = b.column("node").to_numpy(), b.column("part").to_numpy()
-            sets = b.column("set").to_pylist() if exact else [b""] * len(fps)
-            value = pa.array([struct.pack("<qq", x, y) + f + z for x, y, f, z in zip(node.tolist(), part.tolist(), fps, sets, strict=True)], pa.binary())
-            for kind, s in enumerate(drawn):
-                key = bits[:, s].astype(np.int64) @ (1 << np.arange(len(s), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(node), value], names=["kind", "key", "node", "value"])
+            cols = [b.column(c).to_pylist() for c in ("node", "part", "fp", "size")]
+            sets = b.column("set").to_pylist() if exact else [b""] * b.num_rows
+            value = pa.array([struct.pack("<qq", x, y) + f + struct.pack("<q", n) + z for x, y, f, n, z in zip(*cols, sets, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("node"), value], names=["node", "value"])
 
     def compare(batches):
         for b in batches:
             e = compared(b.column("l").to_pylist(), b.column("r").to_pylist(), mode)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    keyed = nodes.mapInArrow(keys, "kind int, key long, node long, value binary")
+    keyed = keys.join(nodes.mapInArrow(pack, "node long, value binary"), "node").select(F.lit(0).alias("kind"), "key", "node", "value")
     return block_pairs(keyed, "node", F.col("value"), EXACT_BLOCK if exact else None).mapInArrow(compare, "a long, b long").distinct()
 
 
+#: A value's node, part and fingerprint; its size and shingle set may follow.
 HEAD = 16 + WIDE // 8
+SIZED = HEAD + 8
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -171,11 +266,13 @@ def compared(lefts: list[list[bytes]], rights: list[list[bytes]], mode: str) ->
     lane_of = np.concatenate(lane_of) if lane_of else np.zeros(0, np.int64)
     head, fps = np.zeros((n_lanes, 2), np.int64), np.zeros((n_lanes, WIDE // 64), np.uint64)
     head[lane_of], fps[lane_of] = np.ascontiguousarray(rows[:, :16]).view("<i8"), np.ascontiguousarray(rows[:, 16:]).view("<u8")
+    size = np.zeros(n_lanes, np.int64)
+    size[lane_of] = np.frombuffer(b"".join([v[HEAD:SIZED].ljust(8, b"\0") for v in values]), "<i8")
     empty = np.ones(n_lanes, bool)
     empty[lane_of] = False
     q, w = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
     x, y = lanes_within(fps, empty, q, w, RADIUS)
-    ok = head[x, 1] != head[y, 1]
+    ok = (head[x, 1] != head[y, 1]) & (np.minimum(size[x], size[y]) >= LEAST * np.maximum(size[x], size[y]) - 1e-9)
     x, y = x[ok], y[ok]
     sizes = np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)], np.int64)
     key_of = np.repeat(np.arange(len(lefts)), sizes)
@@ -190,7 +287,7 @@ def compared(lefts: list[list[bytes]], rights: list[list[bytes]], mode: str) ->
     order = np.lexsort((head[y, 0], head[x, 0], np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)))
     forest = Forest(n_lanes)
     if mode == "exact":
-        sets = dict(zip(lane_of.tolist(), (np.frombuffer(v, np.uint64, -1, HEAD) if len(v) > HEAD else np.zeros(0, np.uint64) for v in values), strict=True))
+        sets = dict(zip(lane_of.tolist(), (np.frombuffer(v, np.uint64, -1, SIZED) if len(v) > SIZED else np.zeros(0, np.uint64) for v in values), strict=True))
         first: dict = {}
         for lane, key in zip(lane_of.tolist(), key_of.tolist(), strict=True):  # a part's nodes are one already
             forest.up[lane] = first.setdefault((key, int(head[lane, 1])), lane)
@@ -305,9 +402,9 @@ def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and group (the smallest doc_id of its group) for each different doc_id of docs."""
     light = cut(fingerprints(docs))
-    texts = cut(light.groupBy("words", "fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    n = texts.count()
-    first = checked(cut(candidates(texts.select("node", "fp", F.col("node").alias("part")), n)), docs)
+    texts = cut(light.groupBy("words", "fp").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("node is not null"))
+    keys = shared_keys(texts)
+    first = checked(cut(candidates(texts.select("node", "fp", "size", F.col("node").alias("part")), keys)), docs)
     links = first.where("alike").select("a", "b")
     failed = first.where("not alike")
     if failed.limit(1).count():
@@ -315,13 +412,13 @@ def groups(docs: DataFrame) -> DataFrame:
         doubtful = failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct()
         parts = components(links)
         again = near.join(doubtful, "root", "left_semi").join(parts.select("node", F.col("root").alias("part")), "node", "left")
-        again = cut(texts.select("node", "fp").join(again.select("node", F.coalesce("part", "node").alias("part")), "node"))
-        rows = cut(candidates(again, n, "every").join(failed.select("a", "b"), ["a", "b"], "left_anti"))
+        again = cut(texts.select("node", "fp", "size").join(again.select("node", F.coalesce("part", "node").alias("part")), "node"))
+        rows = cut(candidates(again, keys, "every").join(failed.select("a", "b"), ["a", "b"], "left_anti"))
         links = links.unionByName(checked(rows.where("a != b"), docs).where("alike").select("a", "b"))
         dense = cut(rows.where("a = b").select(F.col("a").alias("node")).distinct())
         if dense.limit(1).count():
             held = again.join(dense, "node").join(with_sets(dense, docs), "node")
-            links = links.unionByName(cut(candidates(held, n, "exact")))
+            links = links.unionByName(cut(candidates(held, keys, "exact")))
     roots = components(links)
     named = texts.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("group"))
     return light.where("doc_id is not null").join(named, "words").groupBy("doc_id").agg(F.min("group").alias("group"))

@@ -72,6 +72,50 @@ def test_groups_against_brute_force(spark, monkeypatch, dense):
     assert neardup.drop_near_duplicates(docs_of(spark, [])).collect() == []
 
 
+def threshold_rows(n=400, seed=8):
+    """Pairs that are exactly or hardly LEAST alike, of few shingles and of many."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        long = k % 4 == 0
+        words = [f"p{k}w{j}" for j in range(104 if long else 8)]
+        other = list(words)
+        if long:  # 100 shingles, of which two edits leave 90: 90 of 110
+            for p in (10, 50):
+                other[p] = f"e{k}"
+        else:  # 4 shingles of 5
+            other.append(f"e{rng.integers(0, 9)}")
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+    return rows
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    rows = threshold_rows()
+    want = slow_groups(rows)
+    assert sum(want[2 * k + 1] == 2 * k for k in range(400)) == 400
+    assert {r.doc_id: r.group for r in neardup.groups(docs_of(spark, rows)).collect()} == want
+
+
+def test_prefixes_meet_and_radius_covers_all_sizes():
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 5, 9, 10, 35, 100, 333):
+        for _ in range(40):
+            pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+            rng.shuffle(pool)
+            drop = int(rng.integers(0, n // 5 + 1))
+            add = max(0, math.floor((n - drop) / 0.8 + 1e-9) - n)
+            x, y = np.sort(pool[:n]), np.sort(pool[drop : n + add])
+            assert neardup.alike(x, y)
+            common = np.sort(rng.choice(pool, int(rng.integers(0, len(pool) + 1)), replace=False))
+            assert len(np.intersect1d(neardup.prefix(x, common), neardup.prefix(y, common)))
+    coin = lambda n, k: math.comb(n, k) / 2**n
+    for s in range(4, 17):  # shared shingles, and one's own of either set
+        for a in range(s // 4 + 1):
+            for b in range(s // 4 + 1 - a):
+                p = [[sum(coin(m, i) for i in range(m + 1) if 2 * (k + i) > s + m) for m in (a, b)] for k in range(s + 1)]
+                assert sum(coin(s, k) * (x * (1 - y) + y * (1 - x)) for k, (x, y) in enumerate(p)) <= neardup.SHARE
+
+
 def test_large_groups_split(spark, monkeypatch):
     from tessera.llm import simhash
 
