@@ -85,7 +85,7 @@ def op6_ngram_trie(spark, sf_dir):
     from tessera.llm.ngrams import score, train
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, order=2))
+    return score(docs, train(docs, order=3))
 
 
 def op7_spaced_seeds(spark, sf_dir):

@@ -99,3 +99,15 @@ def test_without_training_rows(spark):
     out = ngrams.score(df, ngrams.train(df, 2)).collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.score == 0 and r.base_score == 0 for r in out)
     assert ngrams.score(df.limit(0), ngrams.train(df.limit(0), 2)).collect() == []
+
+
+def test_query_counts_trigrams(spark, tmp_path):
+    from tessera.llm import queries
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d"], 12))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op6_ngram_trie(spark, str(tmp_path)).collect()}
+    two, three = ({r[0]: r[6] for r in slow_scores(rows, order)} for order in (2, 3))
+    assert all(abs(got[i] - three[i]) <= 5e-4 * 13 * 3 for i, _ in rows)
+    assert max(abs(two[i] - three[i]) for i, _ in rows) > 0.1
