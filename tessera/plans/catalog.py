@@ -392,7 +392,7 @@ _PHRASES = _list(K.INTENT_MODIFIERS[:8])
 select location, '"' || phrase || '" "' || word || '" "' || location || '"' as query, case when contains(phrase, 'hir') then 'hiring' when contains(phrase, 'looking') or contains(phrase, 'seeking') then 'looking_for' when contains(phrase, 'need') then 'need' else 'other' end as intent_type from l, p join w on i % 3 = j""")
 def explicit_intent_queries(spark, sf_dir):
     # As many locations as nations: the request's list comes from the driver, as a request does.
-    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").limit(100).collect()]
+    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect()]
     return expansion.intent_queries(spark, Request("", names, services_offered=["search engine optimization"])).select("location", "query", "intent_type")
 
 

@@ -246,3 +246,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.cand_id: (r.outcome, r.first_id, r.sources) for r in spark.table("seen").collect()}
     assert got == {1: ("NEW", 1, ["search"]), 2: ("DUPLICATE", 1, ["search", "maps"]), 3: ("NEW", 3, ["search"]), 4: ("NEW", 4, ["search"])}
+
+
+def test_intent_queries_of_many_nations(spark, tmp_path):
+    from tessera.plans import catalog
+
+    spark.createDataFrame([(f"NATION {i}",) for i in range(120)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = catalog.QUERIES["explicit_intent_queries"](spark, str(tmp_path))
+    assert got.select("location").distinct().count() == 120
