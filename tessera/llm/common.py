@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
@@ -45,7 +47,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: a lineage cut that keeps columns prunable."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more: what came of it must be stored itself."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.tessera_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a key from which on join_heavy keeps it out of the shuffle, and most keys that it sends to all executors.
+HEAVY, BROADCAST_KEYS = 4096, 1_000_000
+
+
+def join_heavy(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with named, which has each key once and how many rows it has: no task gets all rows of a large key.
+
+    Large keys are joined by a broadcast after their number is checked; beyond it Spark splits skewed partitions.
+    """
+    large = named.where(F.col(count) > HEAVY)
+    if large.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return rows.join(named, key)
+    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(named.where(F.col(count) <= HEAVY), key)
+    return small.unionByName(rows.join(F.broadcast(large), key))
 
 
 def null_key(column) -> F.Column:

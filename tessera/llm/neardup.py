@@ -1,24 +1,26 @@
 """Near-duplicate removal with wide SimHash fingerprints (the second use of operator 10's bit-sliced comparison).
 
-Documents are near duplicates if their sets of five-word shingles are at least 0.8 alike (Jaccard). A 64-bit
-fingerprint cannot tell that reliably, so here it has WIDE bits, counted by carry-save adders:
-
-1. Texts with the same words are folded. What follows sees one row for each different text.
-2. Keys are the texts' prefixes: in one order of all shingles, those of a set of n up to the first that sets LEAST alike
-   must share, n - LEAST n + 1 of them. Two such sets always have a shingle of their prefixes in common, whatever the
-   order, so no link is lost for want of a key. Shingles that a sample shows often come last, so that keys stay short
-   lists. Keys that bring the same texts together are one.
-3. Texts with an equal key and sizes that allow it are compared bit-sliced; those within the radius are candidates. The
-   radius is so wide that the fingerprints of two sets LEAST alike lie beyond it with a chance under MISSED at any size.
-   Each comparison emits a spanning forest of its candidates.
-4. Candidates are checked exactly. Where a check fails, the forest may hide a true link, so the texts of that component
-   go through 3 once more for every candidate of two groups that the checks left apart. Keys that would emit more than
-   DENSE candidates a text emit their texts instead; those are compared with their shingle sets in hand, and only true
-   links come out.
+Documents are near duplicates if their sets of five-word shingles are at least LEAST alike (Jaccard). A 64-bit
+fingerprint cannot tell that reliably, so here it has WIDE bits:
+
+1. Texts with the same words are folded: what follows sees one node for each different text, however many rows have it.
+2. A text's keys are KEYS pairs of min-hashes of its shingle set. Two sets LEAST alike agree on a pair with a chance of
+   LEAST squared whatever their sizes, so they lack a common key with a chance under MISSED.
+3. Texts with an equal key are compared bit-sliced; those within the radius and of fitting sizes are candidates. The
+   radius is so wide that two sets LEAST alike lie beyond it with a chance under MISSED. A comparison emits a spanning
+   forest of its candidates, nearest first.
+4. Candidates are checked exactly on their shingle sets. Where a check fails, the forest may hide a true link, so the
+   texts of that component go through 3 once more, for every candidate of two groups that the checks left apart. Groups
+   of a key with over DENSE candidates a text emit their texts instead; those are compared exactly, all pairs of a block
+   by one matrix product. DENSE sets which way a link is found, never whether.
 5. Components over the checked links are the groups; the smallest doc_id of each stays.
 
-Edge cases: texts of fewer than five words are one shingle; null and blank texts are one text without words; rows that
-repeat a doc_id stand or fall together; a null doc_id names no row and stays; an empty table stays empty; other columns
+Memory: a comparison holds two blocks of rows (bitslice.py), and with sets two blocks of BLOCK_SHINGLES or one text;
+Spark hands Arrow batches of 64 MB at most to Python.
+
+Edge cases: texts of fewer than five words are one shingle; null and blank texts are one text without words, alike only
+to each other; rows that repeat a doc_id are one document, so they stand or fall together, and a document with several
+texts joins the groups of all of them; a null doc_id names no row and stays; an empty table stays empty; other columns
 pass through.
 """
 
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
-from tessera.llm.simhash import Forest, block_pairs, components
+from tessera.llm import bitslice
+from tessera.llm.common import cut, join_heavy
+from tessera.llm.simhash import components
 
-WIDE, SHINGLE, LEAST, MISSED = 256, 5, 0.8, 1e-9
+WIDE, SHINGLE, LEAST, MISSED = 256, 5, (4, 5), 1e-9
 #: Largest chance that a bit differs between two sets that are LEAST alike: 4 shingles and the same with one more.
 SHARE = 3 / 16
+#: Pairs of min-hashes: all of them differ with a chance under MISSED.
+KEYS = math.ceil(math.log(MISSED) / math.log(1 - (LEAST[0] / LEAST[1]) ** 2))
 
 
 def _radius() -> int:
@@ -52,30 +56,55 @@ def _radius() -> int:
 
 
 RADIUS = _radius()
-#: Texts that show which shingles are common, in how many of them such a one is, and how many are held at most. They set
-#: the order of the keys, and with it the work; links do not depend on them.
-SAMPLE_TEXTS, COMMON, MOST_COMMON = 4096, 4, 100_000
-#: Keys of a shard of the prefixes.
-SHARD_KEYS = 500_000
-#: Texts in a block that is compared with shingle sets in hand.
-EXACT_BLOCK = 1024
-#: Candidates a text that a key may emit before its texts are compared with their sets instead.
+#: Candidates a text that a group of a key may emit before its texts are compared exactly instead.
 DENSE = 4
+#: Shingles of a block that is compared exactly, and columns of its matrix that are multiplied at once.
+BLOCK_SHINGLES, COLUMNS = 2_000_000, 4096
 #: Largest table of ids that is sent to all executors.
 BROADCAST_IDS = 1_000_000
 
 
-def shingles(text: str | None) -> tuple[bytes, np.ndarray]:
+# ---- what a text becomes ----
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    """n odd 64-bit multipliers."""
+    return np.array([xxhash.xxh64_intdigest(b"%d" % i, seed) | 1 for i in range(n)], np.uint64)
+
+
+PLACES, SPREAD, ORDERS = _odd(SHINGLE, 1), _odd(WIDE // 64, 2), _odd(2 * KEYS, 3)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to MOST of them."""
+
+    MOST = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < self.MOST:
+            self[word] = h
+        return h
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: str | None, hashes: WordHashes) -> tuple[bytes, np.ndarray]:
     """The words' digest and the distinct 64-bit hashes of their shingles, sorted."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    joined = b" ".join(words)
+    digest = hashlib.md5(b" ".join(words)).digest()
     if not words:
-        return hashlib.md5(joined).digest(), np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.append(0, ends[:-1])[: max(1, len(words) - SHINGLE + 1)].tolist()
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    return hashlib.md5(joined).digest(), np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, stops, strict=True)], np.uint64))
+        return digest, np.zeros(0, np.uint64)
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(w) - SHINGLE + 1)
+    total = np.full(n, min(len(w), SHINGLE), np.uint64)
+    for k in range(min(len(w), SHINGLE)):
+        total += w[k : k + n] * PLACES[k]
+    return digest, np.unique(mixed(total))
 
 
 def column_counts(words: np.ndarray) -> np.ndarray:
@@ -100,274 +129,139 @@ def column_counts(words: np.ndarray) -> np.ndarray:
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
     """WIDE bits, each the majority over the shingles; a shingle's bits come from its hash by multiplication."""
-    if not len(h):
-        return bytes(WIDE // 8)
-    odd = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 | 1 for i in range(WIDE // 64)], np.uint64)
     counts = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(h), 1 << 16):
-        x = h[lo : lo + (1 << 16), None] * odd
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        counts += column_counts(x)
+    for lo in range(0, len(h), 1 << 14):
+        counts += column_counts(mixed(h[lo : lo + (1 << 14), None] * SPREAD))
     return np.packbits(counts * 2 > len(h), bitorder="little").tobytes()
 
 
-def prefix(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, common ones last, of which every set that is LEAST alike holds one in its own."""
-    if len(common) and len(h):
-        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        h = np.concatenate([h[~often], h[often]])
-    return h[: len(h) - math.ceil(LEAST * len(h) - 1e-9) + 1]
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """KEYS keys, each of the least shingles in two orders; none for a text without words."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(2 * KEYS, bitslice.FULL)
+    for lo in range(0, len(h), 1 << 12):
+        least = np.minimum(least, (ORDERS[:, None] * h[None, lo : lo + (1 << 12)]).min(axis=1))
+    first, second = least[0::2], least[1::2]
+    return mixed(mixed(first + np.arange(KEYS, dtype=np.uint64)) + second).view(np.int64)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that stand in COMMON or more different texts of a sample."""
-    every = max(1, docs.select("doc_id").count() // SAMPLE_TEXTS)
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, words (their digest), fp, size (number of shingles) and keys of each row."""
 
     def run(batches):
+        hashes = WordHashes()
         for b in batches:
-            for t in b.column("text"):
-                words, h = shingles(t.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["words", "set"])
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                said = [shingles(t, hashes) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *(KEYS if len(h) else 0 for _, h in said)])
+                keys = np.concatenate([pair_keys(h) for _, h in said])
+                cols = [pa.array([w for w, _ in said], pa.binary()), pa.array([wide_fingerprint(h) for _, h in said], pa.binary()), pa.array([len(h) for _, h in said], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "words", "fp", "size", "keys"])
 
-    def split(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("set").to_pylist()), np.int64))], names=["h"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words binary, fp binary, size int, keys array<long>")
 
-    some = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(every)) == 0).select("text")
-    held = some.mapInArrow(run, "words binary, set binary").dropDuplicates(["words"]).select("set").mapInArrow(split, "h long")
-    rows = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
+# ---- candidates ----
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, words (their digest), fp, size (number of shingles) and prefix (hashes as bytes) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
-    def run(batches):
-        common = sent.value
-        for b in batches:
-            out = [(d, wide_fingerprint(h), len(h), prefix(h, common).tobytes()) for d, h in (shingles(t.as_py()) for t in b.column("text"))]
-            cols = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "words", "fp", "size", "prefix"])
+def _frame(a, b, key=None) -> pa.RecordBatch:
+    cols = [a, b] if key is None else [a, b, key]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "key"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words binary, fp binary, size int, prefix binary")
 
+def _near(t: pa.Table):
+    """node, group of the rows of whole groups, and their candidates (x, y), nearest first and ties by node."""
+    node, size, label = bitslice.column(t, "node"), bitslice.column(t, "size"), bitslice.column(t, "part")
+    fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, WIDE // 64)
+    group, side = bitslice.groups_of(t, ["key"])
+    x, y = bitslice.pairs_within(group, side, bitslice.column(t, "i") == bitslice.column(t, "j"), fps, RADIUS)
+    ok = (label[x] != label[y]) & (np.minimum(size[x], size[y]) * LEAST[1] >= np.maximum(size[x], size[y]) * LEAST[0])
+    x, y = x[ok], y[ok]
+    flip = node[x] > node[y]
+    x, y = np.where(flip, y, x), np.where(flip, x, y)
+    order = np.lexsort((node[y], node[x], bitslice.distances(fps, x, y)))
+    return node, group, x[order], y[order]
 
-def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, node: the nodes that share a shingle of their prefixes, once for each different set of nodes."""
-    total = texts.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    n_shards = 1 + total // (8 * SHARD_KEYS)
 
-    def deal(batches):
-        for b in batches:
-            parts = b.column("prefix").to_pylist()
-            h = np.frombuffer(b"".join(parts), np.uint64)
-            node = np.repeat(b.column("node").to_numpy(), [len(x) // 8 for x in parts])
-            shard = (h % np.uint64(n_shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            h, node, shard = h[order], node[order], shard[order]
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
-            rows = [(int(shard[i]), h[i:j].tobytes(), node[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(h)], strict=True)] if cuts else []
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["shard", "h", "node"])
-
-    def meet(batches):
-        now, held = None, []
-        for b in batches:
-            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "h", "node")), strict=True):
-                if s != now and held:
-                    yield _met(held)
-                    held = []
-                now = s
-                held.append(row)
-        if held:
-            yield _met(held)
-
-    dealt = texts.select("node", "prefix").mapInArrow(deal, "shard int, h binary, node binary").repartitionById(n_shards, F.col("shard"))
-    return cut(dealt.sortWithinPartitions("shard").mapInArrow(meet, "key long, node long").distinct())
-
-
-def _met(rows: list) -> pa.RecordBatch:
-    """key and node of a shard's shingles that two nodes or more have; a key is a sum over its nodes.
-
-    Sets of nodes whose sums collide become one set, in which more is compared, not less.
-    """
-    h, node = (np.frombuffer(b"".join([r[k] for r in rows]), kind) for k, kind in ((0, np.uint64), (1, np.int64)))
-    order = np.lexsort((node, h))
-    h, node = h[order], node[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
-    h, node = h[new], node[new]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    many = np.diff(np.append(first, len(h)))
-    x = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    key = np.add.reduceat(x ^ x >> np.uint64(32), first)
-    _, at = np.unique(key, return_index=True)
-    chosen = np.zeros(len(first), bool)
-    chosen[at] = True
-    chosen = (chosen & (many > 1)).repeat(many)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).repeat(many)[chosen]), pa.array(node[chosen])], names=["key", "node"])
-
-
-def candidates(nodes: DataFrame, keys: DataFrame, mode: str = "forest") -> DataFrame:
-    """a, b: pairs of nodes (node, fp, size, part) of different parts that share a key and lie within the radius.
-
-    mode: a spanning "forest" of them; or "every" one, where dense keys give (node, node) for each of their nodes; or
-    "exact", where nodes hold their shingle sets: links that are alike enough, a spanning forest of the parts.
-    """
-    exact = mode == "exact"
-
-    def pack(batches):
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("node", "part", "fp", "size")]
-            sets = b.column("set").to_pylist() if exact else [b""] * b.num_rows
-            value = pa.array([struct.pack("<qq", x, y) + f + struct.pack("<q", n) + z for x, y, f, n, z in zip(*cols, sets, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("node"), value], names=["node", "value"])
+def forests(rows: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the candidates that share a key. rows: key, node, fp, size, part, blocks."""
 
     def compare(batches):
-        for b in batches:
-            e = compared(b.column("l").to_pylist(), b.column("r").to_pylist(), mode)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
-
-    keyed = keys.join(nodes.mapInArrow(pack, "node long, value binary"), "node").select(F.lit(0).alias("kind"), "key", "node", "value")
-    return block_pairs(keyed, "node", F.col("value"), EXACT_BLOCK if exact else None).mapInArrow(compare, "a long, b long").distinct()
-
-
-#: A value's node, part and fingerprint; its size and shingle set may follow.
-HEAD = 16 + WIDE // 8
-SIZED = HEAD + 8
-
-
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= LEAST * (len(x) + len(y) - both)
-
-
-def compared(lefts: list[list[bytes]], rights: list[list[bytes]], mode: str) -> np.ndarray:
-    """Links (a, b) of many keys' blocks at once: each key's left with itself, or with its right if that isn't empty."""
-    values, fps, lane_of, pairs, n_lanes = [], [], [], [], 0
-    for left, right in zip(lefts, rights, strict=True):
-        starts = []
-        for side in (left, right):  # each side begins a word of its own
-            lanes = n_lanes + np.arange(len(side))
-            lane_of.append(lanes)
-            starts.append((n_lanes >> 6, (n_lanes + len(side) + 63) >> 6, lanes))
-            values += side
-            n_lanes = starts[-1][1] << 6
-        (w0, w1, own), (v0, v1, other) = starts
-        if len(other):
-            pairs.append((np.repeat(own, v1 - v0), np.tile(np.arange(v0, v1), len(own))))
-        else:  # words from one's own on; the lanes up to one's own are masked
-            many = w1 - (own >> 6)
-            first = np.cumsum(many) - many
-            pairs.append((np.repeat(own, many), np.arange(many.sum()) - np.repeat(first, many) + np.repeat(own >> 6, many)))
-    rows = np.frombuffer(b"".join([v[:HEAD] for v in values]), np.uint8).reshape(-1, HEAD)
-    lane_of = np.concatenate(lane_of) if lane_of else np.zeros(0, np.int64)
-    head, fps = np.zeros((n_lanes, 2), np.int64), np.zeros((n_lanes, WIDE // 64), np.uint64)
-    head[lane_of], fps[lane_of] = np.ascontiguousarray(rows[:, :16]).view("<i8"), np.ascontiguousarray(rows[:, 16:]).view("<u8")
-    size = np.zeros(n_lanes, np.int64)
-    size[lane_of] = np.frombuffer(b"".join([v[HEAD:SIZED].ljust(8, b"\0") for v in values]), "<i8")
-    empty = np.ones(n_lanes, bool)
-    empty[lane_of] = False
-    q, w = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-    x, y = lanes_within(fps, empty, q, w, RADIUS)
-    ok = (head[x, 1] != head[y, 1]) & (np.minimum(size[x], size[y]) >= LEAST * np.maximum(size[x], size[y]) - 1e-9)
-    x, y = x[ok], y[ok]
-    sizes = np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)], np.int64)
-    key_of = np.repeat(np.arange(len(lefts)), sizes)
-    if mode == "every":
-        of_lane = np.zeros(n_lanes, np.int64)
-        of_lane[lane_of] = key_of
-        dense = np.bincount(of_lane[x], minlength=len(sizes)) > DENSE * sizes
-        thin, whole = ~dense[of_lane[x]], head[lane_of[dense[key_of]], 0]
-        ends = np.sort(np.stack([head[x[thin], 0], head[y[thin], 0]], axis=1), axis=1)
-        return np.concatenate([ends, np.stack([whole, whole], axis=1)])
-    # Nearest first, ties by node, so that keys which hold the same nodes agree on their forest.
-    order = np.lexsort((head[y, 0], head[x, 0], np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1)))
-    forest = Forest(n_lanes)
-    if mode == "exact":
-        sets = dict(zip(lane_of.tolist(), (np.frombuffer(v, np.uint64, -1, SIZED) if len(v) > SIZED else np.zeros(0, np.uint64) for v in values), strict=True))
-        first: dict = {}
-        for lane, key in zip(lane_of.tolist(), key_of.tolist(), strict=True):  # a part's nodes are one already
-            forest.up[lane] = first.setdefault((key, int(head[lane, 1])), lane)
-    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if mode == "forest":
-            forest.add(i, j)
-        elif forest.find(i) != forest.find(j) and alike(sets[i], sets[j]):
-            forest.add(i, j)
-    x, y = (np.array([e[k] for e in forest.links], np.int64) for k in (0, 1))
-    ends = np.stack([head[x, 0], head[y, 0]], axis=1)
-    return np.sort(ends, axis=1)
-
-
-def lanes_within(fps: np.ndarray, empty: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int, chunk: int = 16384) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes (x, y) at distance radius or less, for queries q (lanes) against words w of 64 lanes each.
-
-    Bit planes hold a bit of all lanes. For all pairs (query, word) of a chunk at once, a plane is flipped where the
-    query's bit is set, and carry-save adders count differences in vertical counters: eight planes make seven adders
-    and one carry of weight eight, which ripples on. Pairs whose lanes are all over the radius are abandoned.
-    """
-    bits = fps.shape[1] * 64
-    wide = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T
-    planes = np.packbits(np.ascontiguousarray(wide), axis=1, bitorder="little").view("<u8")
-    closed = np.packbits(empty, bitorder="little").view("<u8")
-    high = max(1, int(radius).bit_length() - 2)  # counters from weight eight up, one more than the radius needs
-    found = []
-    for lo in range(0, len(q), chunk):
-        qs, ws = q[lo : lo + chunk], w[lo : lo + chunk]
-        shift = (qs & 63).astype(np.uint64)
-        own = np.where(qs >> 6 == ws, (np.uint64(2) << shift) - np.uint64(1), np.uint64(0))  # lanes up to one's own
-        over = closed[ws] | own
-        mine = fps[qs]
-        low = [np.zeros(len(qs), np.uint64) for _ in range(3)]
-        counters = [np.zeros(len(qs), np.uint64) for _ in range(high)]
-        for b in range(0, bits, 8):
-            d = [planes[b + i][ws] ^ (np.uint64(0) - (mine[:, b >> 6] >> np.uint64((b + i) & 63) & np.uint64(1))) for i in range(8)]
-            low[0], t1 = _add(low[0], d[0], d[1])
-            low[0], t2 = _add(low[0], d[2], d[3])
-            low[1], f1 = _add(low[1], t1, t2)
-            low[0], t1 = _add(low[0], d[4], d[5])
-            low[0], t2 = _add(low[0], d[6], d[7])
-            low[1], f2 = _add(low[1], t1, t2)
-            low[2], carry = _add(low[2], f1, f2)
-            for k, c in enumerate(counters):
-                counters[k], carry = c ^ carry, c & carry
-            over |= carry
-            if b + 8 > radius and b % 32 == 24:
-                over |= _over([*low, *counters], radius)
-                live = over != FULL
-                if not live.all():
-                    qs, ws, over, mine = qs[live], ws[live], over[live], mine[live]
-                    low, counters = [c[live] for c in low], [c[live] for c in counters]
-                if not len(qs):
-                    break
-        if len(qs):
-            hit = np.unpackbits((~(over | _over([*low, *counters], radius))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            r, lane = np.nonzero(hit)
-            found.append((qs[r], ws[r] * 64 + lane))
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-
-
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A full adder over words: sum and carry."""
-    x = a ^ b
-    return x ^ c, a & b | x & c
-
-
-def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
-    """Where the count in the vertical counters is over the radius: compared from the top bit down."""
-    above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], FULL)
-    for i in range(len(counters) - 1, -1, -1):
-        if radius >> i & 1:
-            equal &= counters[i]
-        else:
-            above |= equal & counters[i]
-            equal &= ~counters[i]
-    return above
+        for t in bitslice.runs(batches, ["key"]):
+            node, _, x, y = _near(t)
+            e = bitslice.spanning(len(node), x, y)
+            yield _frame(node[x[e]], node[y[e]])
+
+    return bitslice.dealt(rows, "node", ["key"]).mapInArrow(compare, "a long, b long").distinct()
+
+
+def every_candidate(rows: DataFrame) -> DataFrame:
+    """a, b, key: all candidates of different parts that share a key; of a dense group (node, node) for each text."""
+
+    def compare(batches):
+        for t in bitslice.runs(batches, ["key"]):
+            node, group, x, y = _near(t)
+            key = bitslice.column(t, "key")
+            dense = np.bincount(group[x], minlength=group[-1] + 1) > DENSE * np.bincount(group)
+            thin, whole = ~dense[group[x]], dense[group]
+            x, y = x[thin], y[thin]
+            yield _frame(np.append(node[x], node[whole]), np.append(node[y], node[whole]), np.append(np.zeros(len(x), np.int64), key[whole]))
+
+    return bitslice.dealt(rows, "node", ["key"]).mapInArrow(compare, "a long, b long, key long").distinct()
+
+
+# ---- exact checks ----
+
+
+def enough(both, n, m):
+    """Whether sets of n and m with so many in both are at least LEAST alike."""
+    return both * LEAST[1] >= (n + m - both) * LEAST[0]
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each left set shares with each right one: products of 0/1 matrices, some columns at a time."""
+    sets = left + right
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, where, many = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    keep = many[where] > 1  # others are in one set only
+    column = (np.cumsum(many > 1) - 1)[where[keep]]
+    owner = owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = int((many > 1).sum())
+    edges = np.searchsorted(column, np.arange(0, width + COLUMNS, COLUMNS))
+    for k in range(len(edges) - 1):
+        mine = slice(edges[k], edges[k + 1])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[mine], column[mine] - k * COLUMNS] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def exact_links(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of a group that are alike enough, as a spanning forest of parts. rows hold set besides."""
+
+    def compare(batches):
+        for t in bitslice.runs(batches, ["key"], "size", BLOCK_SHINGLES):
+            node, label = bitslice.column(t, "node"), bitslice.column(t, "part")
+            group, side = bitslice.groups_of(t, ["key"])
+            inner = bitslice.column(t, "i") == bitslice.column(t, "j")
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+            size = np.array([len(s) for s in sets], np.int64)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+                mid = lo if inner[lo] else lo + int((side[lo:hi] == 0).sum())
+                a, b = (lo, hi) if inner[lo] else (lo, mid)
+                both = common_counts(sets[a:b], sets[mid:hi])
+                x, y = np.nonzero(enough(both, size[a:b, None], size[None, mid:hi]))
+                x, y = x + a, y + mid
+                e = bitslice.spanning(hi - lo, x - lo, y - lo, label[lo:hi])
+                yield _frame(np.minimum(node[x[e]], node[y[e]]), np.maximum(node[x[e]], node[y[e]]))
+
+    return bitslice.dealt(rows, "node", ["key"]).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _limited(ids: DataFrame) -> DataFrame:
@@ -375,53 +269,80 @@ def _limited(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def with_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and set: the shingle hashes of the nodes' texts, as bytes."""
+def with_sets(nodes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and set, the shingle hashes of its text as bytes, for each of nodes; the text is read again from docs."""
 
     def sets(batches):
+        hashes = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t.as_py())[1].tobytes() for t in b.column("text")], pa.binary())], names=["node", "set"])
+            for lo in range(0, b.num_rows, 512):
+                said = [shingles(t, hashes) for t in b.column("text").slice(lo, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in said], pa.binary()), pa.array([h.tobytes() for _, h in said], pa.binary())], names=["words", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_limited(nodes.select(F.col("node").alias("doc_id"))), "doc_id")
-    return cut(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+    wanted = cut(texts.select("node", "words", "doc").join(nodes, "node"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(_limited(wanted.select("doc").distinct()), "doc")
+    held = some.select("text").mapInArrow(sets, "words binary, set binary").join(_limited(wanted.select("words", "node")), "words")
+    return cut(held.groupBy("node").agg(F.first("set").alias("set")))
 
 
-def checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) with alike: whether their texts' shingle sets are at least LEAST alike."""
-    held = with_sets(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs)
+    held = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, docs)
 
     def judge(batches):
         for b in batches:
-            said = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            said = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                said.append(bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(said, pa.bool_())], names=["a", "b", "alike"])
 
     joined = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return cut(joined.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, alike boolean"))
 
 
+# ---- groups ----
+
+
+def links_between(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links between different texts (node, words, doc, fp, size, keys) that connect all that are alike enough."""
+    keyed = cut(bitslice.shared(texts.select("node", F.explode("keys").alias("key")), "node", ["key"]).select("key", "node", "blocks"))
+    first = checked(cut(forests(keyed.join(texts.select("node", "fp", "size", F.col("node").alias("part")), "node"))), texts, docs)
+    links = first.where("alike").select("a", "b")
+    failed = first.where("not alike").select("a", "b")
+    if not failed.limit(1).count():
+        return links
+    near = cut(components(first.select("a", "b")))
+    # A component of two texts has no other pair.
+    doubtful = failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct().join(near.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "root").select("root")
+    again = near.join(doubtful, "root", "left_semi").join(components(links).select("node", F.col("root").alias("part")), "node", "left")
+    again = cut(texts.select("node", "fp", "size").join(again.select("node", F.coalesce("part", "node").alias("part")), "node"))
+    some = cut(keyed.select("key", "node").join(_limited(again.select("node")), "node"))
+    rows = cut(every_candidate(bitslice.shared(some, "node", ["key"]).join(again, "node")).join(failed, ["a", "b"], "left_anti"))
+    links = links.unionByName(checked(rows.where("a != b").select("a", "b").distinct(), texts, docs).where("alike").select("a", "b"))
+    dense = cut(rows.where("a = b").select("key", F.col("a").alias("node")).distinct().join(again.select("node", "size", "part"), "node"))
+    if dense.limit(1).count():
+        sets = with_sets(dense.select("node").distinct(), texts, docs)
+        blocked = bitslice.shared(dense, "node", ["key"], F.col("size"), BLOCK_SHINGLES)
+        links = links.unionByName(cut(exact_links(blocked.join(sets, "node"))))
+    return links
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and group (the smallest doc_id of its group) for each different doc_id of docs."""
     light = cut(fingerprints(docs))
-    texts = cut(light.groupBy("words", "fp").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).where("node is not null"))
-    keys = shared_keys(texts)
-    first = checked(cut(candidates(texts.select("node", "fp", "size", F.col("node").alias("part")), keys)), docs)
-    links = first.where("alike").select("a", "b")
-    failed = first.where("not alike")
-    if failed.limit(1).count():
-        near = components(first.select("a", "b"))
-        doubtful = failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct()
-        parts = components(links)
-        again = near.join(doubtful, "root", "left_semi").join(parts.select("node", F.col("root").alias("part")), "node", "left")
-        again = cut(texts.select("node", "fp", "size").join(again.select("node", F.coalesce("part", "node").alias("part")), "node"))
-        rows = cut(candidates(again, keys, "every").join(failed.select("a", "b"), ["a", "b"], "left_anti"))
-        links = links.unionByName(checked(rows.where("a != b"), docs).where("alike").select("a", "b"))
-        dense = cut(rows.where("a = b").select(F.col("a").alias("node")).distinct())
-        if dense.limit(1).count():
-            held = again.join(dense, "node").join(with_sets(dense, docs), "node")
-            links = links.unionByName(cut(candidates(held, keys, "exact")))
-    roots = components(links)
-    named = texts.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("group"))
-    return light.where("doc_id is not null").join(named, "words").groupBy("doc_id").agg(F.min("group").alias("group"))
+    folded = light.groupBy("words").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    texts = cut(folded.where("doc is not null").withColumn("node", F.monotonically_increasing_id()))
+    links = links_between(texts, docs)
+    named = join_heavy(light.where("doc_id is not null").select("doc_id", "words"), texts.select("words", "node", "copies"), "words", "copies").select("doc_id", "node").distinct()
+    named = cut(named)
+    # A document of several texts links them.
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("doc_id", "a")
+    links = links.unionByName(named.join(several, "doc_id").where("node != a").select("a", F.col("node").alias("b")))
+    group = texts.select("node", "doc", "copies").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = group.groupBy("root").agg(F.min("doc").alias("group"))
+    group = cut(group.join(least, "root").select("node", "group", "copies"))
+    return join_heavy(named, group, "node", "copies").groupBy("doc_id").agg(F.min("group").alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -5,12 +5,10 @@ fingerprints are folded first, so copies cost one row. Fingerprints within the r
 choose 2 pairs of r+2 parts of the bits (at most r parts hold a difference, so two parts are equal): each pair of parts
 is a key, and only fingerprints with an equal key are compared.
 
-The comparison is bit-sliced. A block of up to BLOCK fingerprints is turned on its side: plane b holds bit b of all of
-them, 64 to a word. To compare one fingerprint with the block, each plane is flipped where its own bit is set and added
-to vertical counters, a carry-save chain of words that counts differences for 64 neighbours at once; counting stops
-for a block as soon as every neighbour's counter is over the radius. Keys with more fingerprints than a block are split
-into blocks that are compared pairwise in separate tasks. A comparison emits a spanning forest of the links it found,
-never all pairs; connected components over the forests are those over all links.
+The comparison is bit-sliced (bitslice.py) for keys of every size: bit planes, vertical carry-save counters, and an end
+for each word of 64 neighbours as soon as all of them are over the radius. Keys of many fingerprints are split into
+blocks that are compared pairwise in separate tasks. A comparison emits a spanning forest of the links it found, never
+all pairs; connected components over the forests are those over all links.
 
 Components are found by rounds of min-label joins with reliable checkpoints.
 """
@@ -25,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm import bitslice
+from tessera.llm.common import cut, discard, join_heavy
 
-BLOCK = 4096
 BITS = 64
+KEYS = ["kind", "key"]
 
 
 # ---- fingerprints ----
@@ -69,100 +68,7 @@ def with_fingerprint(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-# ---- bit-sliced comparison ----
-
-
-def planes(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Plane b, in row b: bit b of every fingerprint, 64 fingerprints to a word."""
-    wide = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").T
-    pad = -len(fps) % 64
-    if pad:
-        wide = np.pad(wide, ((0, 0), (0, pad)))
-    return np.packbits(np.ascontiguousarray(wide), axis=1, bitorder="little").view("<u8")
-
-
-def within(queries: np.ndarray, fps: np.ndarray, radius: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, fp) at distance radius or less, by vertical counters with early abandoning."""
-    bits = fps.itemsize * 8 if fps.ndim == 1 else fps.shape[1] * 64
-    p = planes(fps, bits)
-    q = np.unpackbits(np.ascontiguousarray(queries.astype("<u8")).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little").astype(bool)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    depth = int(radius).bit_length() + 1
-    found_q, found_f = [], []
-    for lo in range(0, len(queries), chunk):
-        rows = np.arange(lo, min(lo + chunk, len(queries)))
-        # Counters of depth words; over: the sticky carry out of the counters or a count above the radius.
-        counters = [np.zeros((len(rows), p.shape[1]), np.uint64) for _ in range(depth)]
-        over = np.zeros((len(rows), p.shape[1]), np.uint64)
-        live = np.arange(len(rows))
-        for b in range(bits):
-            carry = p[b][None, :] ^ np.where(q[rows[live], b], full, np.uint64(0))[:, None]
-            for c in counters:
-                c[live], carry = c[live] ^ carry, c[live] & carry
-            over[live] |= carry
-            if b >= radius and b % 4 == 3:
-                over[live] |= _above(counters, live, radius)
-                live = live[(over[live] != full).any(axis=1)]
-                if not len(live):
-                    break
-        over |= _above(counters, np.arange(len(rows)), radius)
-        hit = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
-        r, f = np.nonzero(hit)
-        found_q.append(rows[r])
-        found_f.append(f)
-    return (np.concatenate(found_q), np.concatenate(found_f)) if found_q else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _above(counters: list[np.ndarray], live: np.ndarray, radius: int) -> np.ndarray:
-    """Where the vertical count is over the radius: a bitwise comparison from the top bit down."""
-    above = np.zeros_like(counters[0][live])
-    equal = ~above
-    for i in range(len(counters) - 1, -1, -1):
-        c = counters[i][live]
-        if radius >> i & 1:
-            equal &= c
-        else:
-            above |= equal & c
-            equal &= ~c
-    return above
-
-
-class Forest:
-    """Union-find that keeps the links which joined something."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def add(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
-
-
-def links_of(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside left, or between left and right."""
-    both = left if right is None else np.concatenate([left, right])
-    if len(both) < 8:  # a word of counters would be mostly empty
-        forest = Forest(len(both))
-        for a, b in combinations(range(len(both)), 2):
-            if int(both[a] ^ both[b]).bit_count() <= radius:
-                forest.add(a, b)
-        return [(int(both[a]), int(both[b])) for a, b in forest.links]
-    forest = Forest(len(both))
-    shift = 0 if right is None else len(left)
-    for lo in range(0, len(left), 256):
-        qi, fi = within(left[lo : lo + 256], both[shift:], radius)
-        for a, b in zip((qi + lo).tolist(), (fi + shift).tolist(), strict=True):
-            if a < b:
-                forest.add(a, b)
-    return [(int(both[a]), int(both[b])) for a, b in forest.links]
+# ---- links ----
 
 
 def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -175,29 +81,15 @@ def near_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.kind", "k.key")
 
     def compare(batches):
-        for b in batches:
-            out = []
-            for l, r in zip(b.column("l"), b.column("r"), strict=True):
-                left = np.sort(l.values.to_numpy().view("<u8"))
-                right = np.sort(r.values.to_numpy().view("<u8")) if len(r.values) else None
-                out += links_of(left, right, radius)
-            e = np.array(out, "<u8").reshape(-1, 2).view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
-
-    return block_pairs(keyed, "fp", F.col("fp")).mapInArrow(compare, "a long, b long").distinct()
-
+        for t in bitslice.runs(batches, KEYS):
+            fp = bitslice.column(t, "fp").view(np.uint64)
+            group, side = bitslice.groups_of(t, KEYS)
+            x, y = bitslice.pairs_within(group, side, bitslice.column(t, "i") == bitslice.column(t, "j"), fp[:, None], radius)
+            order = np.lexsort((fp[y], fp[x], bitslice.distances(fp[:, None], x, y)))
+            e = order[bitslice.spanning(len(fp), x[order], y[order])]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x[e]].view(np.int64)), pa.array(fp[y[e]].view(np.int64))], names=["a", "b"])
 
-def block_pairs(keyed: DataFrame, node: str, value, block: int | None = None) -> DataFrame:
-    """l, r: arrays of value to be compared, for every pair of blocks of a key (kind, key); r is empty within a block.
-
-    Most keys are alone and end here, most others have one block; a key of many rows is split over many tasks.
-    """
-    block = block or BLOCK
-    sizes = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocked = keyed.join(sizes, ["kind", "key"]).withColumn("blocks", F.expr(f"int((n + {block - 1}) div {block})")).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    dealt = blocked.withColumn("p", F.explode(pairs)).groupBy("kind", "key", "p").agg(F.collect_list(F.when(F.col("own") == F.col("p.i"), value)).alias("l"), F.collect_list(F.when(F.col("own") != F.col("p.i"), value)).alias("r"))
-    return dealt.select("l", "r")
+    return bitslice.dealt(bitslice.shared(keyed, "fp", KEYS), "fp", KEYS).mapInArrow(compare, "a long, b long").distinct()
 
 
 # ---- components ----
@@ -212,12 +104,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
+        old = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = e.groupBy("u").agg(F.min("v").alias("m"))
         star = e.join(small, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = cut(star.where("u != v").distinct())
+        discard(old)
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             every = e.unionByName(e.select(F.col("v").alias("u"), "v"))
@@ -233,10 +127,10 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
     other columns are ignored.
     """
     fps = cut(with_fingerprint(docs, size))
-    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     roots = components(near_links(least.select("fp"), radius))
     # Folded to one row for each distinct fingerprint, so a large group of copies is one row until the last join.
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    answer = cut(named.join(ids, "root").select("fp", "component_id", "copies"))
+    return join_heavy(fps, answer, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import neardup
+from tessera.llm import bitslice, neardup
 from tests.llm.test_ranked_ops import docs_of
 
 
@@ -96,18 +96,20 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert {r.doc_id: r.group for r in neardup.groups(docs_of(spark, rows)).collect()} == want
 
 
-def test_prefixes_meet_and_radius_covers_all_sizes():
+def test_keys_meet_and_radius_covers_all_sizes():
     rng = np.random.default_rng(6)
-    for n in (1, 4, 5, 9, 10, 35, 100, 333):
-        for _ in range(40):
-            pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
-            rng.shuffle(pool)
+    assert (1 - (4 / 5) ** 2) ** neardup.KEYS <= neardup.MISSED
+    shares = []
+    for n in (4, 9, 35, 100, 333):
+        for _ in range(60):
+            pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
             drop = int(rng.integers(0, n // 5 + 1))
             add = max(0, math.floor((n - drop) / 0.8 + 1e-9) - n)
-            x, y = np.sort(pool[:n]), np.sort(pool[drop : n + add])
-            assert neardup.alike(x, y)
-            common = np.sort(rng.choice(pool, int(rng.integers(0, len(pool) + 1)), replace=False))
-            assert len(np.intersect1d(neardup.prefix(x, common), neardup.prefix(y, common)))
+            x, y = np.unique(pool[:n]), np.unique(pool[drop : n + add])
+            assert neardup.enough(len(np.intersect1d(x, y)), len(x), len(y))
+            shares.append((neardup.pair_keys(x) == neardup.pair_keys(y)).mean())
+            assert shares[-1] > 0
+    assert np.mean(shares) > 0.62 and len(np.unique(neardup.pair_keys(x))) == neardup.KEYS  # keys of a set differ
     coin = lambda n, k: math.comb(n, k) / 2**n
     for s in range(4, 17):  # shared shingles, and one's own of either set
         for a in range(s // 4 + 1):
@@ -117,9 +119,10 @@ def test_prefixes_meet_and_radius_covers_all_sizes():
 
 
 def test_large_groups_split(spark, monkeypatch):
-    from tessera.llm import simhash
+    from tessera.llm import bitslice
 
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(bitslice, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3000)
     rng = np.random.default_rng(1)
     base = [f"x{i}" for i in range(200)]
     rows = []
@@ -181,43 +184,91 @@ def test_stages(spark, tables):
     assert Counter(r.doc_id for r in run.collect()) == ids["sharding"]
 
 
-def test_many_keys_at_once_equal_plain_distances():
+def test_documents_of_several_texts(spark):
+    """Rows that repeat a doc_id with other texts are one document; each text keeps its own links."""
+    rng = np.random.default_rng(2)
+    a, b = ([f"{c}{k}" for k in rng.integers(0, 10**6, 90)] for c in "ab")
+    near = lambda w: " ".join([*w, "more"])
+    rows = [(5, " ".join(a), "s"), (5, " ".join(b), "s"), (9, near(b), "s"), (11, near(a), "s"), (12, "none of them", "s")]
+    for order in (rows, rows[::-1]):
+        assert {r.doc_id: r.group for r in neardup.groups(docs_of(spark, order)).collect()} == {5: 5, 9: 5, 11: 5, 12: 12}
+    rows = [(7, " ".join(a), "s"), (7, " ".join(b), "s"), (9, near(b), "s"), (5, near(a), "s")]
+    assert {r.doc_id: r.group for r in neardup.groups(docs_of(spark, rows)).collect()} == {5: 5, 7: 5, 9: 5}
+
+
+def dealt_rows(lefts, rights):
+    """group, side, inner and fingerprints of the groups, as a task gets them."""
+    g, s, inner, f = [], [], [], []
+    for k, (left, right) in enumerate(zip(lefts, rights, strict=True)):
+        for side, rows in enumerate((left, right)):
+            g += [k] * len(rows)
+            s += [side] * len(rows)
+            inner += [not len(right)] * len(rows)
+            f += list(rows)
+    return np.array(g), np.array(s), np.array(inner), np.array(f, np.uint64)
+
+
+@pytest.mark.parametrize("words,radius", [(4, neardup.RADIUS), (1, 0), (1, 2), (1, 3), (1, 9), (2, 20)])
+def test_many_groups_at_once_equal_plain_distances(words, radius):
     rng = np.random.default_rng(3)
-    import struct
 
     def block(n):
-        base = rng.integers(0, 2**63, (max(1, n // 4), 4), dtype=np.uint64)
+        base = rng.integers(0, 2**63, (max(1, n // 4), words), dtype=np.uint64)
         out = []
-        for i in range(n):
+        for _ in range(n):
             f = base[rng.integers(0, len(base))].copy()
-            for b in rng.choice(256, int(rng.integers(0, 80)), replace=False):
+            for b in rng.choice(64 * words, int(rng.integers(0, radius + 2)), replace=False):
                 f[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
-            out.append((int(rng.integers(0, 10**9)), int(rng.integers(0, 3)), f))
+            out.append(f)
         return out
 
-    lefts, rights = [block(n) for n in (2, 5, 64, 65, 200, 3)], [[], [], [], [], block(70), block(1)]
-    pack = lambda rows: [struct.pack("<qq", i, p) + f.astype("<u8").tobytes() for i, p, f in rows]
+    lefts, rights = [block(n) for n in (2, 5, 64, 65, 200, 3, 1)], [[], [], [], [], block(70), block(1), []]
+    group, side, inner, fps = dealt_rows(lefts, rights)
+    x, y = bitslice.pairs_within(group, side, inner, fps, radius)
     want = set()
-    for left, right in zip(lefts, rights, strict=True):
-        both = [(a, b) for a in left for b in right] if right else [(a, b) for n, b in enumerate(left) for a in left[:n]]
-        want |= {(min(a[0], b[0]), max(a[0], b[0])) for a, b in both if a[1] != b[1] and int(np.bitwise_count(a[2] ^ b[2]).sum()) <= neardup.RADIUS}
-    got = {tuple(e) for e in neardup.compared([pack(x) for x in lefts], [pack(x) for x in rights], "forest").tolist()}
-    assert got <= want and want
-
-    def groups(edges):
-        up = {}
-
-        def find(x):
-            up.setdefault(x, x)
-            while up[x] != x:
-                x = up[x]
-            return x
-
-        for a, b in edges:
-            up[find(a)] = find(b)
-        out = defaultdict(set)
-        for x in list(up):
-            out[find(x)].add(x)
-        return {frozenset(x) for x in out.values()}
-
-    assert groups(got) == groups(want)
+    for a in range(len(fps)):
+        for b in range(a):
+            if group[a] == group[b] and (inner[a] or side[a] != side[b]) and int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= radius:
+                want.add((b, a))
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want)
+    kept = bitslice.spanning(len(fps), x, y)
+    assert trees(zip(x[kept].tolist(), y[kept].tolist(), strict=True)) == trees(want) and len(kept) == sum(len(t) - 1 for t in trees(want))
+
+
+def trees(edges):
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+    out = defaultdict(set)
+    for x in list(up):
+        out[find(x)].add(x)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_common_counts_equal_intersections(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 16)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (0, 1, 5, 40, 80, 33, 0, 12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+    assert neardup.common_counts(sets[:3], sets).tolist() == want
+
+
+def test_streams_are_cut_between_groups(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bitslice, "ROWS", 7)
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(0, 30, 200))
+    b = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(200, np.int32)), pa.array(np.zeros(200, np.int32)), pa.array(np.arange(200))], names=["key", "i", "j", "n"])
+    for step in (1, 3, 10, 200):
+        out = list(bitslice.runs((b.slice(i, step) for i in range(0, 200, step)), ["key"]))
+        assert [n for t in out for n in t.column("n").to_pylist()] == list(range(200))
+        seen = [set(t.column("key").to_pylist()) for t in out]
+        assert sum(map(len, seen)) == len(set().union(*seen)) and len(out) > 10
