@@ -33,6 +33,8 @@ MASKS = ((0, 1, 2, 5, 7, 8), (0, 1, 3, 5, 6, 7), (0, 1, 5, 8, 9, 10), (0, 1, 2,
 SPAN_TOKENS, LEAST_AGREEMENT, LEAST_ITEM = 13, 0.8, 5
 #: Tokens of the benchmark in one pass.
 CHUNK_TOKENS = 400_000
+#: Hits that are expanded at once.
+HITS = 1_000_000
 #: ASCII bytes that are not letters or digits part tokens; other bytes belong to UTF-8 letters.
 BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -118,9 +120,16 @@ class Index:
             n = hi - lo
             got = n > 0
             at, lo, n = at[got], lo[got], n[got]
-            if len(at):
-                entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                diagonals.update(zip(item[entry].tolist(), (np.repeat(at, n) - place[entry]).tolist(), strict=True))
+            # Texts and items that repeat words meet in many places of few diagonals, so they are taken in pieces.
+            total = np.cumsum(n)
+            begin = 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(total, total[begin] + HITS)))
+                a, k, c = at[begin:end], lo[begin:end], n[begin:end]
+                entry = np.repeat(k - np.cumsum(c) + c, c) + np.arange(c.sum())
+                found = np.unique(np.stack([item[entry], np.repeat(a, c) - place[entry]], axis=1), axis=0)
+                diagonals.update(map(tuple, found.tolist()))
+                begin = end
         out = []
         for k, d in sorted(diagonals):
             y = self.items[k]

@@ -13,7 +13,7 @@ comparison in the scan, and texts are never shuffled.
 
 Edge cases: null levels are nodes of their own; a null or blank text has no tokens and is selected where its hash lies
 in the prefix, or in whole epochs; rows that repeat a doc_id stand or fall together; weights of zero give nothing;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; of other columns, mix_rows returns all, whatever their names, and mix none.
 """
 
 from __future__ import annotations
@@ -91,11 +91,16 @@ def plan(rows: DataFrame, weights: dict[str, dict], numerator: int = 3, denomina
     dealt = stored(budgets(leaves, weights, numerator, denominator, max_epochs), "mix").where("share > 0 and tokens > 0")
     dealt = dealt.withColumn("full", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens"))
     partial = _with_leaf(rows, dealt.where("rest > 0").select(*keys, "full", "rest"), keys).withColumn("h", order_hash(seed, "full"))
-    partial = partial.withColumn("b", F.left("h", F.lit(3)))
-    sums = partial.groupBy(*keys, "b").agg(F.sum("n_tokens").alias("s"))
-    before = F.sum("s").over(Window.partitionBy(*keys).orderBy("b")) - F.col("s")
-    # Stored, or the join and the window below would reuse its partitioning by leaf, and a large leaf is one task.
-    sums = stored(sums.select(*keys, "b", before.alias("before")), "sums")
+    # Rows of one hash stand or fall together, so they are summed first: a repeated doc_id is one row from here on.
+    partial = stored(partial.groupBy(*keys, "rest", "h").agg(F.sum("n_tokens").alias("n_tokens")), "hashes")
+    partial = partial.withColumn("a", F.left("h", F.lit(2))).withColumn("b", F.left("h", F.lit(3)))
+    # Sums of the ranges before, in two steps: 256 ranges of a leaf, then 16 parts of each. They are stored, or the join
+    # and the window below would reuse their partitioning by leaf, and a large leaf would be one task.
+    fine = stored(partial.groupBy(*keys, "a", "b").agg(F.sum("n_tokens").alias("s")), "sums")
+    rough = fine.groupBy(*keys, "a").agg(F.sum("s").alias("s"))
+    rough = stored(rough.select(*keys, "a", (F.sum("s").over(Window.partitionBy(*keys).orderBy("a")) - F.col("s")).alias("base")), "sums")
+    inner = F.sum("s").over(Window.partitionBy(*keys, "a").orderBy("b")) - F.col("s")
+    sums = stored(fine.withColumn("inner", inner).join(rough, [*keys, "a"]).select(*keys, "b", (F.col("base") + F.col("inner")).alias("before")), "sums")
     partial = partial.join(sums, [*keys, "b"])
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*keys, "b").orderBy("h"))
     last = partial.withColumn("upto", upto).where("upto <= rest").groupBy(*keys).agg(F.max("h").alias("last"))
@@ -128,9 +133,10 @@ def _light(docs: DataFrame) -> DataFrame:
     return keyed(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "k_domain", "k_lang", "k_source", tokens.alias("n_tokens"))
 
 
-def mix_plan(docs: DataFrame, weights: dict[str, dict], numerator: int, denominator: int, max_epochs: int, seed: int) -> DataFrame:
-    """The plan alone, for chosen(keyed(docs), plan, seed)."""
-    return plan(stored(_light(docs), "mix"), weights, numerator, denominator, max_epochs, seed)
+def mix_rows(docs: DataFrame, weights: dict[str, dict], numerator: int, denominator: int, max_epochs: int, seed: int) -> DataFrame:
+    """The selected rows with all their columns, whatever these are called: a row travels as one value."""
+    leaves = plan(stored(_light(docs), "mix"), weights, numerator, denominator, max_epochs, seed)
+    return chosen(keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "source")), leaves, seed).select("row.*")
 
 
 def chosen(rows: DataFrame, leaves: DataFrame, seed: int = 11) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 8, toxicity: a linear-chain conditional random field over tokens.
 
-Fitting, on a bounded sample of labelled training rows (SAMPLE_ROWS, the smallest by a hash of doc_id, a parameter):
+Fitting, on a bounded sample of labelled training rows (at most SAMPLE_ROWS of them, the smallest by a hash of doc_id, of
+SAMPLE_BYTES together, and SAMPLE_LINES of their lines; all parameters):
 
 1. Token labels come from document labels. A word is a toxic word if it stands in toxic documents after more different
    words than chance allows (the number of word types times the share of toxic rows to the power of that count is far
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,8 +35,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 #: Labelled rows that fit the model, and the most lines among them that fit the chain.
 SAMPLE_ROWS, SAMPLE_LINES = 8_000, 8_000
+#: Bytes of the sampled texts: they are what the driver collects.
+SAMPLE_BYTES = 64_000_000
 #: Values of a token's features: the word itself, its first letters, its last letters.
 SCALE = np.array([1.0, 0.5, 0.5])
 #: ASCII bytes that are not letters or digits part tokens, but lines stay apart; other bytes belong to UTF-8 letters.
@@ -150,22 +156,39 @@ def toxic_words(docs: list[tuple[str | None, int]]) -> set[bytes]:
     return {w for w, n in count.items() if (seen[w] + 0.5) / len(clean) < 0.05 * n / len(toxic)}
 
 
-def fit(docs: list[tuple[str | None, int]], rounds: int = 100, step: float = 1.0, l2: float = 1e-4) -> Model:
+class Thin:
+    """Lines, thinned by a hash of their words so that all count alike, to twice a number at most."""
+
+    def __init__(self, most: int):
+        self.most, self.below, self.held = most, 1 << 32, []
+
+    def add(self, line: list[bytes]) -> None:
+        h = zlib.crc32(b" ".join(line))
+        if h < self.below:
+            self.held.append((h, line))
+            while len(self.held) > 2 * self.most and self.below:
+                self.below >>= 1
+                self.held = [x for x in self.held if x[0] < self.below]
+
+    def take(self, n: int) -> list[list[bytes]]:
+        """n lines of the smallest hashes, in order of their arrival."""
+        least = sorted(h for h, _ in self.held)[:n]
+        return [line for h, line in self.held if least and h <= least[-1]]
+
+
+def fit(docs: list[tuple[str | None, int]], lines: int = SAMPLE_LINES, rounds: int = 100, step: float = 1.0, l2: float = 1e-4) -> Model:
     """docs: texts and labels, in a fixed order."""
     model, bad = Model(), toxic_words(docs)
     share = sum(y for _, y in docs) / len(docs) if docs else 0.0
     model.curve = (0.0, math.log(share / (1 - share)) if 0 < share < 1 else 30.0 * (1 if share else -1))
     if not bad:
         return model
-    hot, cold = [], []
+    hot, cold = Thin(lines), Thin(lines)
     for t, _ in docs:
         for line in lines_of(t):
-            (hot if any(w in bad for w in line) else cold).append(line)
-            if len(cold) > 2 * SAMPLE_LINES:
-                cold = cold[::2]
-    hot = hot[:: max(1, -(-len(hot) // (SAMPLE_LINES // 2)))]
-    cold = cold[:: max(1, -(-len(cold) // (SAMPLE_LINES - len(hot))))]
-    lines = hot + cold
+            (hot if any(w in bad for w in line) else cold).add(line)
+    hot = hot.take(lines // 2)
+    lines = hot + cold.take(max(1, lines - len(hot)))
     flat = [w for line in lines for w in line]
     lengths = np.array([len(x) for x in lines], np.int64)
     gold = np.array([w in bad for w in flat], float)
@@ -228,14 +251,19 @@ def in_training(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The model of a sample of the labelled rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES, size: int = SAMPLE_BYTES) -> Model:
+    """The model of a sample of the labelled rows outside the held-out fifth; a repeated doc_id counts with its least text."""
     asked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & in_training())
-    asked = asked.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    asked = asked.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id")
-    sample = sorted(((r[0], r[1], int(r[2])) for r in found.select("doc_id", "text", "y").collect()), key=lambda r: (r[0], r[1] or ""))
-    return fit([(t, y) for _, t, y in sample])
+    asked = asked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
+    asked = cut(asked.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(asked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = cut(found.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))))
+    sizes = found.select("doc_id", "bytes").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").collect()
+    ends = np.cumsum([r.bytes for r in sizes]) if sizes else np.zeros(0)
+    taken = [r.doc_id for r, end in zip(sizes, ends, strict=True) if end <= size]
+    least = docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")
+    sample = sorted(((r[0], r[1], int(r[2])) for r in found.join(F.broadcast(least), "doc_id").select("doc_id", "text", "y").toLocalIterator()), key=lambda r: r[0])
+    return fit([(t, y) for _, t, y in sample], lines)
 
 
 def _sent(docs: DataFrame, model: Model):
