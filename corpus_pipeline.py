@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and reads
 it again for the next stage. All stages but the last return the columns of documents. The last gives each row's place:
 doc_id, source, size, text_crc32, law, shard, slot.
+
+What becomes of unusual rows: a null or blank text holds nothing toxic and no benchmark item, is one text with all other
+such texts to the near-duplicate stage, has no tokens in the mixture and size 1 in its shard. A row without a doc_id is
+never a duplicate and otherwise treated as any other. Rows that repeat a doc_id are judged by their texts for toxicity
+and leaks; as duplicates and in the mixture they stand or fall together; each has a slot. Extra columns pass through all
+stages but the last, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import stored, table
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.mixing import chosen, keyed, mix_plan
+from tessera.llm.mixing import mix_rows
 from tessera.llm.neardup import drop_near_duplicates
 from tessera.llm.queries import MIXTURE
 from tessera.llm.sharding import interleave
@@ -36,8 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mix_plan(docs, MIXTURE, NUMERATOR, DENOMINATOR, EPOCHS, SEED)
-    return chosen(keyed(docs), plan, SEED).select(docs.columns)
+    return mix_rows(docs, MIXTURE, NUMERATOR, DENOMINATOR, EPOCHS, SEED)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
