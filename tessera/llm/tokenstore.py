@@ -18,6 +18,7 @@ a row each; an empty table makes no file and gives no rows; other columns are ig
 from __future__ import annotations
 
 import os
+import re
 import sys
 import unicodedata
 import zlib
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import get_bytes, put_bytes, scratch
+from tessera.llm.common import cut, get_bytes, put_bytes, scratch
 
 MAGIC = b"S8BTOK01"
 BLOCK = 1024
 #: Fixed values of the format: ids in a word, bits of each id; the selector is the place in this list.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+#: File numbers whose files are summed together; a task that writes files has 2**24 numbers of its own.
+FILES_OF_RUN = 1 << 32
 
 
 def encode(ids: np.ndarray, blocks: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -174,60 +177,133 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 AS_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-class Encoder:
-    """Token ids as little-endian uint32 bytes. A piece between ASCII blanks is encoded once and remembered.
+def parts_at_blanks(path: str) -> bool:
+    """Whether a vocabulary works as Pieces relies on: lower case, words of letters, white space dropped, byte spelling."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    normal = [n.get("type") for n in (j.get("normalizer") or {}).get("normalizers", [])]
+    split = (j.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    words = len(split) == 2 and split[0].get("type") == "Split" and split[0].get("behavior") == "Removed" and split[0].get("invert") is True and split[0].get("pattern", {}).get("Regex") == WORDS
+    plain = words and split[1].get("type") == "ByteLevel" and not split[1].get("add_prefix_space") and not split[1].get("use_regex")
+    return bool(plain) and normal == ["NFC", "Replace", "Lowercase"] and not any(" " in t["content"] for t in j.get("added_tokens", []))
+
+
+#: Fixed value: the pattern of words that Pieces relies on.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and digits; marks. A mark behind a letter or digit begins a word. OTHERS: more than words, blanks and single
+#: full stops or commas.
+_WORDS, _MARKS = r"0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-/:-@\[-`{-~"
+OTHERS, BEGINS = re.compile(rf"[^{_WORDS} \n.,]|[.,][.,]"), re.compile(f"(?<=[{_WORDS}])[{_MARKS}]")
+#: What is not Latin, and the one Latin letter that is two when it is lowered.
+FOREIGN = re.compile("[\u0130\u0250-\U0010ffff]")
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its pieces in order.
+
+def parted(text: str | None) -> list[str]:
+    """Pieces of a text, each of which is encoded alone: what stands between blanks, at least.
+
+    Texts of Latin letters in composed form can be lowered as a whole, and a mark behind a letter or digit begins a
+    word in any case; so what is left are mostly words of letters, each in one spelling, and runs of marks.
     """
+    t = text or ""
+    if (t.isascii() or (not FOREIGN.search(t) and unicodedata.is_normalized("NFC", t))) and "<|" not in t:
+        t = t.lower()
+        t = BEGINS.sub(r" \g<0>", t) if OTHERS.search(t) else t.replace(".", " .").replace(",", " ,")
+    return t.replace("\n", " ").split(" ")
 
-    PIECES, ROOTS = 400_000, 800_000
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
-        from tokenizers import Tokenizer
+class Pieces(dict):
+    """Ids of pieces, as bytes, remembered for a while.
+
+    New words of letters go to the library's model many at a time, joined by blanks; each ends with a token that is
+    spelt as the end of a word. What has been asked for since the last change of generations stays for one more.
+    """
 
-        self.tokenizer, self.known, self.roots = Tokenizer.from_file(path), {}, {}
+    MOST = 500_000
 
-    @staticmethod
-    def of(path: str) -> Encoder:
-        """The worker process's own encoder, which outlives a task."""
-        import tokenizers
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        held = vars(tokenizers).setdefault("_tessera_encoders", {})
-        return held.setdefault(path, None) or held.update({path: Encoder(path)}) or held[path]
+        super().__init__()
+        self.tokenizer, self.before = tokenizer, {}
+        self.words = Tokenizer(tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocab = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for t, k in vocab.items() if t.endswith(tokenizer.model.end_of_word_suffix)]] = True
 
     def learn(self, pieces: set[str]) -> None:
-        """Letters are one word each, and a full stop or comma behind them is another: encode the letters once."""
-        known, roots, whole = self.known, self.roots, []
-        for mark in (",", "."):
-            if mark not in known:
-                known[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
-        one_word = self.tokenizer.model.tokenize
+        before, whole, spelt, plain = self.before, [], [], []
         for p in pieces:
-            root, tail = (p[:-1], p[-1]) if p.endswith((",", ".")) else (p, "")
-            # Latin letters in composed form: nothing to normalise but case, and nothing to part.
-            if root.isalpha() and (root.isascii() or max(root) < LATIN_END and unicodedata.is_normalized("NFC", root) and root.lower().isalpha()):
-                root = root.lower()
-                ids = roots.get(root)
-                if ids is None:
-                    ids = roots[root] = array("I", [t.id for t in one_word(root if root.isascii() else root.encode().decode("latin-1").translate(AS_BYTES))]).tobytes()
-                known[p] = ids + known[tail] if tail else ids
+            if p in before:
+                self[p] = before[p]
+            elif not p.isalpha():
+                whole.append(p)
+            elif p.isascii():
+                plain.append(p)
+                spelt.append(p.lower())
+            elif max(p) < LATIN_END and unicodedata.is_normalized("NFC", p) and p.lower().isalpha():
+                plain.append(p)
+                spelt.append(p.lower().encode().decode("latin-1").translate(AS_BYTES))
             else:
                 whole.append(p)
-        for p, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        if plain:
+            out = self.words.encode_batch_fast([" ".join(spelt[i : i + 1000]) for i in range(0, len(spelt), 1000)], add_special_tokens=False)
+            ids = np.array([i for e in out for i in e.ids], np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(plain):
+                raise ValueError("a word's tokens do not end as the vocabulary says")
+            raw = ids.tobytes()
+            self.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        if whole:
+            found = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+            self.update(zip(whole, [array("I", e.ids).tobytes() for e in found], strict=True))
+
+    def turn(self) -> None:
+        """Forget what has not been asked for of late, if there is too much."""
+        if len(self) > self.MOST:
+            self.before = dict(self)
+            self.clear()
 
-    def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.PIECES:
-            self.known = {}
-        if len(self.roots) > self.ROOTS:
-            self.roots = {}
-        self.learn(set().union(*pieces) - self.known.keys())
+
+class Encoder:
+    """Token ids as little-endian uint32 bytes.
+
+    A vocabulary that drops white space and never merges across it has a text's ids from those of its pieces in order;
+    any other gets whole texts.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise NotImplementedError("token files are written on little-endian machines only")
-        end, find = array("I", [end_id]).tobytes(), self.known.__getitem__
-        return [b"".join(map(find, ps)) + end for ps in pieces]
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.tokenizer) if parts_at_blanks(path) else None
+
+    #: The worker process's own encoders, which outlive a task.
+    held: dict = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        import tessera.llm.tokenstore as here  # the module's own class: the one that tasks bring along is a new one each time
+
+        held = here.Encoder.held
+        if path not in held:
+            held[path] = here.Encoder(path)
+        return held[path]
+
+    def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        end = array("I", [end_id]).tobytes()
+        if self.pieces is None:
+            return [array("I", self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + end for t in texts]
+        self.pieces.turn()
+        parts = [parted(t) for t in texts]
+        self.pieces.learn(set().union(*parts).difference(self.pieces))
+        find = self.pieces.__getitem__
+        return [b"".join(map(find, ps)) + end for ps in parts]
 
 
 def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, file_ids: int = 1_000_000, part_docs: int = 4096) -> DataFrame:
@@ -252,8 +328,8 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([len(ids)], pa.int64())], names=["file", "n_ids"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                piece = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 512):
+                piece = b.slice(lo, 512)
                 file = piece.column("part")[0].as_py() << 24 if file is None else file
                 for d, x in zip(piece.column("doc_id").to_pylist(), encoder(piece.column("text").to_pylist(), end_id), strict=True):
                     keys.append(d)
@@ -270,7 +346,12 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files. files: what write_files returned, stored."""
-    starts = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).select("file", "base")
+    # Sums of the files before, in two steps, so that no task holds a row for every file.
+    files = files.withColumn("run", F.expr(f"file div {FILES_OF_RUN}"))
+    runs = files.groupBy("run").agg(F.sum("n_ids").alias("n"))
+    runs = cut(runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("first")))
+    inner = F.sum("n_ids").over(Window.partitionBy("run").orderBy("file")) - F.col("n_ids")
+    starts = files.withColumn("inner", inner).join(runs, "run").select("file", (F.col("first") + F.col("inner")).alias("base"))
 
     def read(batches):
         for b in batches:
@@ -287,7 +368,5 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def token_store(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    from tessera.llm.common import cut
-
     folder = scratch(docs.sparkSession, "tokens")
     return read_files(cut(write_files(docs, vocabulary, folder, end_id)), folder)
