@@ -27,6 +27,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = os.path.join(root, f"resolve-{uuid.uuid4().hex}")
@@ -263,8 +265,10 @@ def _union(rows: DataFrame, c: str, key, value=lambda v: v) -> DataFrame:
 
 
 def merge(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One record for each cluster; assigned: cand_id, cluster_id."""
-    rows = candidates.join(assigned, "cand_id")
+    """One record for each cluster; assigned: cand_id, cluster_id. The record of a single member is left as it is."""
+    members = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    every = stored(candidates.join(assigned, "cand_id").join(members, "cluster_id"))
+    alone, rows = every.where("members = 1"), every.where("members > 1").drop("members")
     plain = ~F.col("name").startswith("@") & ~F.contains("name", F.lit("."))
     named = ~X.blank(F.col("name"))
     intent = F.col("lead_type").isin("explicit_intent", "explicit_and_opportunity") | F.col("intent_evidence").isNotNull()
@@ -297,7 +301,7 @@ def merge(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
     ]
     for x in lists:
         out = out.join(x, "cluster_id", "left")
-    return out
+    return out.unionByName(alone.select(*[F.col(c) if c in alone.columns else F.lit(None).cast(t).alias(c) for c, t in out.dtypes]))
 
 
 def merge_profiles(rows: DataFrame) -> DataFrame:

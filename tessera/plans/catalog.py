@@ -15,6 +15,7 @@ from tessera.operators import extract, resolve, signals
 from tessera.operators import validate as V
 from tessera.operators.schema import FIELDS, Request
 from tessera.plans import discovery, expansion, store
+from tessera.sources import captured
 from tessera.streaming import registry
 
 QUERIES: dict = {}
@@ -85,13 +86,42 @@ def page_internal_links_topk(spark, sf_dir):
     return extract.internal_links(extract.parse_pages(table(spark, sf_dir, "pages")))
 
 
-@query(f"""with {_U}, s as (select distinct host, link, 10 * len(list_filter({_list(K.SITEMAP_KEYWORDS)}, lambda w: contains(lower(link), w))) - case when {_any('lower(link)', K.SITEMAP_BAD)} then 15 else 0 end as score from n)
+#: Paths that are given to the captured pages, which have none that a crawl would follow.
+_PATHS = ("/contact-us", "/about", "/services/seo", "/blog/contact", "/privacy", "/team", "/category/services", "/x")
+
+
+@query(f"""with {_U}, d as (select host, 'https://' || host || list_extract({_list(_PATHS)}, cast(page_id % {len(_PATHS)} + 1 as integer)) || '/' || (page_id % 90) as link from n),
+s as (select distinct host, link, 10 * len(list_filter({_list(K.SITEMAP_KEYWORDS)}, lambda w: contains(lower(link), w))) - case when {_any('lower(link)', K.SITEMAP_BAD)} then 15 else 0 end as score from d)
 select host as site, link, score from s where score > 0 qualify row_number() over (partition by host order by score desc, link) <= 15""")
 def sitemap_url_scores(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(X.hostname("url").alias("site"), X.normalize_url("url").alias("link"))
+    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(X.hostname("url").alias("site"), "page_id")
+    rows = rows.select("site", F.concat(F.lit("https://"), "site", path, F.lit("/"), (F.col("page_id") % 90).cast("string")).alias("link"))
     return extract.best_sitemap_urls(rows, "site", "link").select("site", "link", "score")
 
 
+@query(f"""with {_U}, d as (select page_id, host, page_id % {len(_PATHS)} as k from n), a as (select page_id, host, j as pos, list_extract({_list(_PATHS)}, cast((k + j) % {len(_PATHS)} + 1 as integer)) as path from d, range(5) r(j)),
+s as (select page_id, pos, 'https://' || host || path as link, 10 * len(list_filter({_list(K.LINK_KEYWORDS)}, lambda w: contains(path, w))) as score from a)
+select page_id, cast(row_number() over (partition by page_id order by score desc, pos) as integer) as rank, link, score from s where score > 0 qualify rank <= 10""")
+def derived_links_topk(spark, sf_dir):
+    """Internal links of derived pages: five to a page, on the page's own host."""
+    k = F.col("page_id") % len(_PATHS)
+    links = [F.concat(F.lit('<a href="'), F.element_at(F.array(*map(F.lit, _PATHS)), ((k + j) % len(_PATHS) + 1).cast("int")), F.lit('">-</a>')) for j in range(5)]
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://"), X.hostname("url"), F.lit("/")).alias("url"), F.concat(F.lit("<html><body>"), *links, F.lit("</body></html>")).alias("html"))
+    return extract.internal_links(extract.parse_pages(pages), most=10)
+
+
+@query("""with s as (select suppkey, n from (select s_suppkey as suppkey, s_suppkey % 3 + 1 as n from supplier)), e as (select suppkey, n, unnest(range(n)) as pos from s),
+u as (select 0 as source, suppkey as seq, pos, 'a' || (suppkey % 7) as name from e union all select 1, suppkey, 0, 'a' || (suppkey % 7) from s)
+select row_number() over (order by source, seq, pos) - 1 as cand_id, name, case when source = 0 then 'search' else 'maps' end as source from u""")
+def sources_in_order(spark, sf_dir):
+    """Candidates of two sources, repeated rows among them, numbered in their order of arrival."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("a"), (F.col("s_suppkey") % 7).cast("string")).alias("name"), F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int")).alias("p"))
+    first = captured.as_candidates(k.select("seq", "name", F.explode("p").alias("pos")), "search", name=F.col("name"))
+    second = captured.as_candidates(k, "maps", name=F.col("name"))
+    return captured.union(first, second).select("cand_id", "name", "source")
+
+
 @query()
 def page_signals(spark, sf_dir):
     pages = extract.parse_pages(table(spark, sf_dir, "pages")).withColumn("meta", extract.metadata())

@@ -163,3 +163,9 @@ def run(candidates: DataFrame, pages: DataFrame | None, request: Request) -> dic
     rich = candidates.join(passed.select("cand_id"), "cand_id", "left_anti").select(*FIELDS).unionByName(passed)
     leads = finalized(resolve.merge(rich, members))
     return {"ledger": ledger, "leads": leads, "rejections": ledger.where("outcome = 'REJECTED'"), "counters": V.job_counters(ledger)}
+
+
+def merged_batch(candidates: DataFrame, request: Request) -> DataFrame:
+    """The batch way: all candidates clustered and merged at once, then the light check (F9) on what came out."""
+    leads = resolve.merge(candidates, resolve.clusters(candidates, "batch"))
+    return leads.where(F.coalesce(V.light_eligible(request), F.lit(False)))

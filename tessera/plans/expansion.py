@@ -88,3 +88,14 @@ def round_robin(rows: DataFrame, per_location: int, most: int, families: list[st
 def head_per(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """O4"""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__n") <= n).drop("__n")
+
+
+def planned(spark: SparkSession, r: Request) -> DataFrame:
+    """The queries that a job asks: families in turn, within the request's limits for a location and in all."""
+    return round_robin(queries(spark, r), r.queries_per_location, r.max_search_queries)
+
+
+def total_queries(spark: SparkSession, r: Request) -> DataFrame:
+    """How many queries a job has by their type, the businesses it looks for and those that ask for help."""
+    both = planned(spark, r).select("query_type").unionByName(intent_queries(spark, r).select("query_type"))
+    return both.groupBy("query_type").agg(F.count(F.lit(1)).alias("total_queries"))

@@ -8,6 +8,7 @@ data source in tessera.sources.files.
 from __future__ import annotations
 
 import gzip
+from functools import reduce
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -19,6 +20,7 @@ from tessera.functions import text as X
 from tessera.functions.htmltree import parse
 from tessera.functions.plain import clean_text
 from tessera.operators import extract
+from tessera.operators.resolve import stored
 from tessera.operators.schema import EMAILS, EVIDENCE, FIELDS, PHONES, Request
 
 RESULT = "array<struct<title:string,href:string,snippet:string>>"
@@ -95,7 +97,7 @@ def as_candidates(rows: DataFrame, source: str, **values) -> DataFrame:
     """rows projected to the schema of candidates; fields that are not given are null or empty."""
     empty = {"services": F.array(), "locations": F.array(), "sources": F.array(), "phone_numbers": F.array(), "emails": F.array(), "evidence": F.array(), "service_opportunities": F.array(), "social_profiles": F.create_map(), "is_historical": F.lit(False), "is_directory": F.lit(False)}
     given = empty | {"source": F.lit(source)} | values
-    return rows.select(*[given.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in FIELDS.items() if k != "cand_id"], *[c for c in ("seq",) if c in rows.columns])
+    return rows.select(*[given.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in FIELDS.items() if k != "cand_id"], *[c for c in ("seq", "pos") if c in rows.columns])
 
 
 def phone_list(value: Column, kind: str, url: Column) -> Column:
@@ -198,14 +200,22 @@ def from_intents(captured: DataFrame, r: Request) -> DataFrame:
 
 
 def union(*sources: DataFrame) -> DataFrame:
-    """All sources' candidates in a fixed order (source by source, then by seq), numbered by cand_id."""
-    rows = [s.withColumn("__rank", F.lit(i)).withColumn("seq", F.col("seq") if "seq" in s.columns else F.lit(0)) for i, s in enumerate(sources)]
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    # Ids need to be ordered, not gapless: the source's rank, the query's place, then a hash that is the same every time.
-    order = F.col("__rank").cast("long") * (1 << 56) + F.col("seq").cast("long") * (1 << 32) + F.pmod(F.xxhash64(*[F.to_json(F.struct(*[c for c in FIELDS if c not in ("cand_id", "evidence")]))]), F.lit(1 << 32))
-    return out.withColumn("cand_id", order).select(*FIELDS)
+    """All sources' candidates in a fixed order, source by source, then by seq and pos; cand_id counts them from 0.
+
+    Rows are sorted in ranges, and each range adds the number of rows before it; equal rows have ids of their own.
+    """
+    rows = [s.withColumns({"__rank": F.lit(i)} | {f"__{c}": F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in s.columns else F.lit(0).cast("long") for c in ("seq", "pos")}) for i, s in enumerate(sources)]
+    columns = [c for c in FIELDS if c != "cand_id"]
+    order = ["__rank", "__seq", "__pos", "__hash"]
+    out = reduce(DataFrame.unionByName, [x.select(*columns, "__rank", "__seq", "__pos") for x in rows])
+    out = out.withColumn("__hash", F.xxhash64(F.to_json(F.struct(*[c for c in columns if c != "evidence"]))))
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    out = stored(out.select(*columns, "__id").withColumn("__part", F.shiftright("__id", 33)))
+    # One row for each range.
+    counts = out.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("first"))
+    own = F.col("first") + F.col("__id") - F.shiftleft("__part", 33)
+    return out.join(F.broadcast(counts), "__part").withColumn("cand_id", own).select(*FIELDS)
 
 
 # ---- crawl payloads (S14, S15, F15) ----

@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,15 @@ def test_sources(spark):
     assert every.columns == list(FIELDS) and every.select("cand_id").distinct().count() == 2
 
 
+def test_union_counts_in_order_of_arrival(spark):
+    rows = [(s, p, "ab"[p % 2]) for s in (3, 1, 2) for p in (2, 0, 1)] + [(1, 0, "a")] * 2  # the same business several times
+    first = captured.as_candidates(spark.createDataFrame(rows, "seq int, pos int, name string"), "search", name=F.col("name"), address=F.concat("seq", F.lit("/"), "pos"))
+    second = captured.as_candidates(spark.createDataFrame([("z",), ("y",)], "name string"), "maps", name=F.col("name"))
+    got = captured.union(first, second).orderBy("cand_id").collect()
+    assert [r.cand_id for r in got] == list(range(len(rows) + 2))
+    assert [r.address for r in got[: len(rows)]] == [f"{s}/{p}" for s, p, _ in sorted(rows)] and {r.name for r in got[len(rows) :]} == {"y", "z"}
+
+
 def test_robots_and_sitemaps(spark):
     text = " User-agent: *\n Disallow: /admin\n Sitemap: https://a.in/s.xml\n sitemap: https://a.in/t.xml\n"
     rows = spark.createDataFrame([("a", text, "https://a.in/admin/x"), ("a", text, "https://a.in/y"), ("b", None, "https://b.in/admin")], "host string, robots_text string, url string")
@@ -104,6 +114,9 @@ def test_captured_files(spark, tmp_path):
 # ---- candidates ----
 
 
+PHONE = ["9876543210"]
+
+
 def cand(i, name=None, domain=None, phones=(), places=("Pune",), **more):
     row = dict.fromkeys(FIELDS) | {"cand_id": i, "name": name, "domain": domain, "website": f"https://{domain}" if domain else None, "locations": list(places), "phone_numbers": [(p, p, "", "") for p in phones], "services": [], "sources": ["search"], "emails": [], "social_profiles": {}, "evidence": [], "service_opportunities": [], "is_historical": False, "is_directory": False, "description": "dental clinic"} | more
     return tuple(row[f] for f in FIELDS)
@@ -167,8 +180,30 @@ def test_merge(spark):
     assert [(x.service, x.confidence) for x in m.service_opportunities] == [("s1", "high"), ("s2", "high")]
 
 
+def test_merge_leaves_single_members_alone(spark):
+    mail = ("a@x.in", False, "", "")
+    row = cand(7, "Lotus", "lotus.in", PHONE * 2, emails=[mail, mail], service_opportunities=[("s", "s", "low", [], [], "")], services=["x", "x"])
+    m = resolve.merge(frame(spark, [row]), spark.createDataFrame([(7, 7)], "cand_id long, cluster_id long")).first()
+    assert (m.members, m.cluster_id, m.lead_type, m.services, len(m.emails), len(m.phone_numbers)) == (1, 7, None, ["x", "x"], 2, 2)
+    was = frame(spark, [row]).first()
+    assert all(m[f] == was[f] for f in FIELDS if f in m)
+
+
+def test_batch_merge_checks_what_came_out(spark):
+    rows = [cand(1, "Lotus Dental", "lotus.in"), cand(2, "Lotus Dental", "lotus.in", PHONE), cand(3, "Rose Casino", "rose.in", PHONE), cand(4, "Lily", "lily.in")]
+    got = discovery.merged_batch(frame(spark, rows), REQUEST).collect()
+    assert [(r.cluster_id, r.members) for r in got] == [(1, 2)]  # 3 is excluded, 4 has no phone
+
+
+def test_planned_queries_keep_the_limits(spark):
+    r = Request("Dentist", ["Pune", "Goa", "Delhi"], services_offered=["SEO"], queries_per_location=3, max_search_queries=5)
+    rows = expansion.planned(spark, r).collect()
+    assert max(Counter(x.location for x in rows).values()) <= 3 and 5 <= len(rows) <= 7  # a begun turn ends
+    total = {x.query_type: x.total_queries for x in expansion.total_queries(spark, r).collect()}
+    assert total["business_discovery"] == len(rows) and total["explicit_intent"] == 24
+
+
 REQUEST = Request("Dental Clinics", ["Pune"], keywords=["dentist"], must_have=["phone"], exclude=["casino"], services_offered=["SEO", "branding"], target_leads=3)
-PHONE = ["9876543210"]
 
 
 @pytest.mark.parametrize(
