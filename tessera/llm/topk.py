@@ -11,8 +11,9 @@ which is all that the tie rule can ask of it. Nothing is collected, broadcast un
 Queries meet candidates by an equi-join on the candidate block: the stated set of queries, in blocks, against all rows.
 
 Edge cases: a vector that is null or holds null or non-finite components, or whose length differs from `dim`, takes no
-part; repeated vec_ids are ranked as separate candidates (a query's own id is excluded however often it occurs, and a
-repeated query id is answered once); fewer than k candidates give all of them; an empty table gives no rows; other
+part, nor does one with a component so large that a score might not fit 62 bits (for 64 components scaled by 256, beyond a
+million); repeated vec_ids are ranked as separate candidates (a query's own id is excluded however often it occurs, and a
+repeated query id is answered once, for the least of its vectors, component by component); fewer than k candidates give all of them; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -80,7 +81,9 @@ def histogram_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int =
     x = F.col("embedding")
     kept = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double"))
     fit = x.isNotNull() & F.col("vec_id").isNotNull() & (F.size(x) == dim) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = cut(vectors.where(F.coalesce(fit, F.lit(False))).select("vec_id", kept.alias("v")))
+    most = math.isqrt((1 << 62) // max(dim, 1)) - 1
+    rows = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), kept.alias("v"))
+    rows = cut(rows.where(F.forall("v", lambda v: F.abs(v) <= most)))
     stats = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v))))).first()
     n, most = stats[0], stats[1] or 0.0
     schema = "query_id long, rank int, vec_id long, score long"
@@ -89,7 +92,7 @@ def histogram_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int =
     n_blocks = max(1, math.ceil(n / BLOCK))
     rows = rows.withColumn("at", F.xxhash64(F.monotonically_increasing_id()))  # rows are stored, so their order is fixed
     cand = _packed(rows.withColumn("b", F.pmod("at", F.lit(n_blocks))), "b")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_query_blocks = max(1, math.ceil(asked.count() / BLOCK))
     query = _packed(asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks))), "b")
     cand = cut(cand.select(F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"), F.col("dim").alias("c_dim")))

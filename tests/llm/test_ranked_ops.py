@@ -41,6 +41,46 @@ def test_interleave_matches_mixture(spark):
             assert abs(n - share[s] / 16) <= 3
 
 
+def test_interleave_against_plain_ranks(spark):
+    """The whole order in plain Python, from the same seeded hashes; repeated rows and ids among them."""
+    from pyspark.sql import functions as F
+
+    rows = [(i if i % 4 else None, f"t{i % 90}" if i % 6 else None, ["a", "b", "b", None][i % 4]) for i in range(700)] + [(7, "same", "c")] * 60
+    docs = docs_of(spark, rows)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keyed = docs.select("doc_id", "source", F.crc32(text).alias("crc"), (F.octet_length(text).cast("long") + 1).alias("size"))
+    keyed = [tuple(r) for r in keyed.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "crc", "size")).collect()]
+    ranges = max(16, len(rows) // 500)
+    by = defaultdict(list)
+    for r in keyed:
+        by["-" if r[1] is None else "+" + r[1]].append(r)
+    line = []
+    for key, v in by.items():
+        v.sort(key=lambda r: (r[4] % ranges, r[4], (r[0] is not None, r[0] or 0), r[2], r[3]))
+        line += [((2 * k + 1) / (2 * len(v)), key, k, r) for k, r in enumerate(v)]
+    line.sort(key=lambda x: x[:3])
+    n, want, slots = len(line), [], Counter()
+    for k, (_, _, _, r) in enumerate(line):
+        shard = k * 16 // n
+        want.append((r[0], r[1], r[3], r[2], shard, slots[shard]))
+        slots[shard] += 1
+    got = [(r.doc_id, r.source, r.size, r.text_crc32, r.shard, r.slot) for r in interleave(docs, 16, 7).collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_interleave_with_a_hot_range(spark, monkeypatch):
+    from tessera.llm import sharding
+
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    rows = [(None, "x", "s")] * 300 + [(i, f"t{i}", "ab"[i % 2]) for i in range(300)]
+    out = interleave(docs_of(spark, rows), 16).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r)
+    assert len(out) == 600 and all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    assert all(18 <= sum(r.source == "s" for r in v) <= 20 for v in by.values())
+
+
 def test_interleave_empty(spark):
     assert interleave(docs_of(spark, []), 16).collect() == []
 
@@ -71,6 +111,16 @@ def test_topk_few_and_empty(spark):
     assert histogram_topk(spark.createDataFrame([], schema), dim=4).collect() == []
 
 
+def test_topk_large_components_and_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    big = 4e6  # scaled by 256 it is the largest power of ten, times four, whose scores fit
+    rows = [(0, [big, 0.0, 0.0, 0.0]), (0, [-big, 0.0, 0.0, 0.0]), (1, [big, 1.0, 0.0, 0.0]), (2, [-1.0, 0.0, 0.0, 0.0]), (2, [-1.0, 0.0, 0.0, 0.0]), (3, [6e10, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    got = [tuple(r) for r in histogram_topk(spark.createDataFrame(rows, schema), dim=4).orderBy("rank").collect()]
+    unit = 256 * 256 * 4_000_000
+    assert got == [(0, 1, 2, unit), (0, 2, 2, unit), (0, 3, 1, -unit * 4_000_000)]
+    assert got == [tuple(r) for r in histogram_topk(spark.createDataFrame(rows[::-1], schema), dim=4).orderBy("rank").collect()]
+
+
 def slow_fingerprint(text, size=3):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
     grams = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])

@@ -133,3 +133,14 @@ def test_mixture_against_brute_force(spark):
         got = Counter((r.doc_id, r.n_tokens, r.epoch) for r in mixing.mix(df, weights, num, den, epochs, 11).collect())
         assert got == slow_mix(rows, weights, num, den, epochs, 11)
     assert mixing.mix(df.limit(0), {}).collect() == []
+
+
+def test_whole_rows_pass_the_mixture_whatever_their_columns_are_called(spark):
+    from tessera.llm import mixing
+
+    extra = ["last", "full", "epoch", "k_lang", "__n", "row", "rest", "h"]
+    rows = [(i % 40, f"w{i} w w", "en" if i % 2 else None, "s", *[f"{c}{i}" for c in extra]) for i in range(60)] + [(None, None, None, None, *extra)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in extra))
+    out = mixing.mix_rows(docs, {"lang": {"*": 1}}, 1, 1, 1, 3)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows} and out.count() >= 60
