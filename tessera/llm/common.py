@@ -75,6 +75,13 @@ def join_heavy(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataF
     return small.unionByName(rows.join(F.broadcast(large), key))
 
 
+def remove(spark: SparkSession, uris: list[str]) -> None:
+    """Delete files of the shared folder that nothing reads any more."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def null_key(column) -> F.Column:
     """A never-null string key, in which null and the empty string differ."""
     c = F.col(column) if isinstance(column, str) else column

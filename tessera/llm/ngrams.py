@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import eliasfano as ef
-from tessera.llm.common import cut, mapped, put_bytes, scratch
+from tessera.llm.common import cut, get_bytes, mapped, put_bytes, remove, scratch
 
 #: What stands for the end of a text; no word holds white space.
 END = b"\n"
@@ -85,6 +85,16 @@ def _merged(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    press = zstandard.ZstdCompressor(level=1).compress
+    return press(np.diff(keys, prepend=np.uint64(0)).tobytes()), press(counts.astype("<i8").tobytes())
+
+
+def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    grow = zstandard.ZstdDecompressor().decompress
+    return np.cumsum(np.frombuffer(grow(keys), "<u8"), dtype=np.uint64), np.frombuffer(grow(counts), "<i8")
+
+
 def _by_shard(batches, build):
     """Call build(shard, runs) for each shard of a task's rows, which are sorted by shard."""
     now, runs = None, []
@@ -234,7 +244,7 @@ class Model:
                 parent[1:] = places[-1][:-1]
                 parent[begins] = -1
             pairs = np.stack([parent, ids], axis=1)
-            order = np.lexsort((ids, parent))
+            order = sorted_by(parent, ids, x.types + 1)
             pairs = pairs[order]
             first = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))
             found, part, rest = level.look(pairs[first, 0], pairs[first, 1])
@@ -245,6 +255,13 @@ class Model:
         return p, places
 
 
+def sorted_by(major: np.ndarray, minor: np.ndarray, width: int) -> np.ndarray:
+    """The order by (major, minor), of -1 and up and of -1 to width - 1; one number for both where that fits."""
+    if len(major) and (int(major.max()) + 2) * (width + 1) < 2**63:
+        return np.argsort((major.astype(np.int64) + 1) * (width + 1) + minor.astype(np.int64) + 1)
+    return np.lexsort((minor, major))
+
+
 def held_out():
     return F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1, F.lit(False))
 
@@ -329,7 +346,7 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
             ok = (parent >= 0) & (ids >= 0)
             shard, number = level.place(parent[ok], ids[ok])
             key = number.astype(np.uint64) * np.uint64(types) + ids[ok].astype(np.uint64)
-            order = np.lexsort((key, shard))
+            order = sorted_by(shard, key, numbers * types)
             shard, key = shard[order], key[order]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, int)
             yield _runs(shard[first], key[first], np.diff(np.append(first, len(key))))
@@ -338,7 +355,7 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
         def build(s, runs):
             key, c = _merged(runs)
             number, word = (key // np.uint64(types)).astype(np.int64), (key % np.uint64(types)).astype(np.int64)
-            put_bytes(f"{folder}/counts-{k}-{s}", ef.pack({"number": number, "word": word, "count": c}))
+            put_bytes(f"{folder}/counts-{k}-{s}", pickle.dumps(_packed(key, c)))
             seen = [int((c == x).sum()) for x in (1, 2, 3, 4)]
             # Sums of hot parents are put together by the driver: as many numbers as there are hot parents.
             far = number >= level.local
@@ -369,8 +386,8 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
     def finish(batches):
         for b in batches:
             for s in b.column(0).to_pylist():
-                arrays, _ = ef.unpack(mapped(f"{folder}/counts-{k}-{s}"))
-                number, word, c = arrays["number"], arrays["word"], arrays["count"]
+                key, c = _unpacked(*pickle.loads(get_bytes(f"{folder}/counts-{k}-{s}")))
+                number, word = (key // np.uint64(types)).astype(np.int64), (key % np.uint64(types)).astype(np.int64)
                 per = np.bincount(number, minlength=numbers)
                 total = np.bincount(number, c, minlength=numbers)
                 off = cuts[np.minimum(c, 3) - 1]
@@ -388,6 +405,7 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
     if figures:
         todo = spark.createDataFrame([(s,) for s in sorted(by)], "shard int").repartitionById(min(n_shards, 1000), F.col("shard") % min(n_shards, 1000))
         cut(todo.mapInArrow(finish, "shard int"))
+        remove(spark, [f"{folder}/counts-{k}-{s}" for s in sorted(by)])
     model.levels.append(level)
     return sorted(int(level.bases[r.shard]) + i for r in figures for i, n in zip(r.top, r.top_n, strict=True) if n > tokens / (4 * n_shards))
 
