@@ -42,6 +42,8 @@ END = b"\n"
 STEP = 12.0 / 65534
 #: Tokens in a shard of a level, documents in a shard of level 1, tokens that a task counts before it sends them.
 SHARD_TOKENS, SHARD_DOCS, BUFFER_TOKENS = 4_000_000, 8192, 2_000_000
+#: Tokens that are scored at once.
+SCORE_TOKENS = 800_000
 RUN = "shard int, keys binary, counts binary"
 
 
@@ -145,7 +147,10 @@ class Lexicon:
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of ids, 0 for -1."""
-        unique, back = np.unique(ids, return_inverse=True)
+        order = np.argsort(ids)
+        unique, at = distinct(ids[order])
+        back = np.empty(len(ids), np.int64)
+        back[order] = at
         shard = np.searchsorted(self.bases, unique, side="right") - 1
         out = np.zeros(len(unique), np.int64)
         for s in np.unique(shard[unique >= 0]):
@@ -203,7 +208,7 @@ class Level:
             if not self.uris[s]:
                 continue
             ptr, following, code, passes = self.shard(s)
-            numbers, back = np.unique(number[at], return_inverse=True)
+            numbers, back = distinct(number[at])
             begin, end = ptr.access(numbers).astype(np.int64)[back], ptr.access(numbers + 1).astype(np.int64)[back]
             own = number[at] < self.local
             some = own & (end > begin)
@@ -225,13 +230,12 @@ class Model:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.levels = lexicon, []
 
-    def grams(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def grams(self, ids: np.ndarray, lengths: np.ndarray, p: np.ndarray | None = None) -> tuple[np.ndarray | None, list[np.ndarray]]:
         """p of every token by all levels, and for each level the places of the k-grams that end at it.
 
-        ids: the tokens of texts, one after another, -1 for unknown ones.
+        ids: the tokens of texts, one after another, -1 for unknown ones. p: theirs by level 1; without it places alone.
         """
         x = self.lexicon
-        p = (x.counts(ids) + 0.5) / (x.tokens + 0.5 * (x.types + 1))
         begins = np.cumsum(lengths) - lengths
         context = np.empty_like(ids)  # the token before, the start of a text having the number behind all ids
         context[1:] = ids[:-1]
@@ -250,11 +254,19 @@ class Model:
             found, part, rest = level.look(pairs[first, 0], pairs[first, 1])
             back = np.empty(len(ids), np.int64)
             back[order] = np.cumsum(first) - 1
-            p = part[back] + rest[back] * p
+            p = p if p is None else part[back] + rest[back] * p
             places.append(found[back])
         return p, places
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse; what is sorted already is not sorted again."""
+    if (x[1:] < x[:-1]).any():
+        return np.unique(x, return_inverse=True)
+    first = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return x[first], np.cumsum(first) - 1
+
+
 def sorted_by(major: np.ndarray, minor: np.ndarray, width: int) -> np.ndarray:
     """The order by (major, minor), of -1 and up and of -1 to width - 1; one number for both where that fits."""
     if len(major) and (int(major.max()) + 2) * (width + 1) < 2**63:
@@ -438,12 +450,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = pickle.loads(sent.value)
         x = model.lexicon
-        for ids, words, lengths in _tokens(batches, 400_000):
+        for ids, words, lengths in _tokens(batches, SCORE_TOKENS):
             numbers = x.ids(words)
             begins = np.cumsum(lengths) - lengths
             c = x.counts(numbers)
-            base = np.add.reduceat(np.log10((c + 0.5) / (x.tokens + 0.5 * (x.types + 1))), begins)
-            p, _ = model.grams(numbers, lengths)
+            own = (c + 0.5) / (x.tokens + 0.5 * (x.types + 1))
+            base = np.add.reduceat(np.log10(own), begins)
+            p, _ = model.grams(numbers, lengths, own)
             known = np.add.reduceat((c > 0).astype(np.int64), begins)
             cols = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), x.tokens)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), begins))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
