@@ -1,9 +1,10 @@
 """Operator 5, chat formatting of reply trees.
 
-Turns are nodes that name their parent. Root-to-leaf paths are enumerated by iterative self-joins with doubling: after
-round i each node knows up to 2**i of its ancestors, and the next round appends what the topmost of them knows, so a
-path of n turns takes log2(n) joins. Branches are ranked by their scores, summed along the path (ties: the path of
-smaller node ids first); the best `branches` leaves of each tree are formatted, each as one conversation.
+Turns are nodes that name their parent. Root-to-leaf paths are found by iterative self-joins with doubling: after round
+i each node knows its 2**i-th ancestor and the sum of scores below it, and the next round adds what that ancestor knows,
+so a path of n turns takes log2(n) joins of rows of fixed size. Branches are ranked by their scores, summed along the
+path (ties: the smaller leaf first). Only the best `branches` leaves of each tree are then laid out turn by turn, by the
+same jumps from the leaf up, and each is formatted as one conversation.
 
 The template marks turns with control strings. Within roles and texts every control string and every escape character
 gets the escape character in front, so formatted text can be read back exactly: an escape character makes the next
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, discard
 
 #: The marks of this template, and the control strings of other templates that are escaped as well.
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -69,39 +70,49 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """leaf and its path (node ids from the root), for every leaf of nodes (node, parent)."""
-    up = nodes.alias("c").join(nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known")), "parent", "left")
-    up = cut(up.select("node", F.when(F.col("known"), F.array("parent")).otherwise(F.array().cast("array<long>")).alias("above"), F.when(F.col("known"), F.col("parent")).alias("top")))
-    limit = up.count()
-    done, open_, rounds = [up.where("top is null").select("node", "above")], up.where("top is not null"), 0
-    while 2**rounds <= limit and open_.limit(1).count():  # turns in a circle never end
-        further = up.select(F.col("node").alias("top"), F.col("above").alias("more"), F.col("top").alias("next"))
+def climb(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Ends: tables of node, tree, total (the scores from the root), for every node of nodes (node, parent, tree, score)
+    that has a root. Levels: table i has node and top, its 2**i-th ancestor, where there is one."""
+    known = nodes.select(F.col("node").alias("parent"), F.col("node").alias("top"))
+    # total sums the scores from the node to just below top; a row has the same few numbers however deep its node lies.
+    up = cut(nodes.join(known, "parent", "left").select("node", "tree", "top", F.col("score").alias("total")))
+    limit, ends, levels, open_ = up.count(), [up.where("top is null")], [up], up.where("top is not null")
+    while 2 ** (len(levels) - 1) <= limit and open_.limit(1).count():  # turns in a circle never end
+        reached = reduce(DataFrame.unionByName, ends, open_).select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("total").alias("more"))
+        grown = cut(open_.join(reached, "top").select("node", "tree", F.col("next").alias("top"), (F.col("total") + F.col("more")).alias("total")))
         # Paths that have reached their root are set aside and join no more, but others may still lead into them.
-        grown = cut(open_.join(further, "top").select("node", F.concat("above", "more").alias("above"), F.col("next").alias("top")))
-        done.append(grown.where("top is null").select("node", "above"))
+        ends.append(grown.where("top is null"))
+        levels.append(grown)
         open_ = grown.where("top is not null")
-        up = reduce(DataFrame.unionByName, [d.withColumn("top", F.lit(None).cast("long")) for d in done], open_)
-        rounds += 1
-    up = reduce(DataFrame.unionByName, done)
+    return ends, levels
+
+
+def chosen(nodes: DataFrame, branches: int) -> DataFrame:
+    """tree, leaf, branch, node and place (0 at the leaf, less above) along the best branches of nodes (node, parent, tree, score)."""
+    ends, levels = climb(nodes)
     parents = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = up.join(parents, "node", "left_anti")
-    return leaves.select(F.col("node").alias("leaf"), F.concat(F.reverse("above"), F.array("node")).alias("path"))
+    leaves = reduce(DataFrame.unionByName, ends).join(parents, "node", "left_anti")
+    best = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))).where(F.col("branch") <= branches)
+    parts = [cut(best.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("place")))]
+    # What is known of a path up to place 2**i gives the places up to 2**(i + 1), each once: only chosen paths are laid out.
+    for i, level in enumerate(levels):
+        jump = level.where("top is not null").select("node", "top")
+        further = reduce(DataFrame.unionByName, parts).join(jump, "node")
+        parts = [*parts, cut(further.select("tree", "leaf", "branch", F.col("top").alias("node"), (F.col("place") - 2**i).alias("place")))]
+    for level in levels:
+        discard(level)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def conversations(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, branch (rank from 1) and turns (array of role, text) of each tree's best branches.
 
-    nodes: node long, parent long, tree, score, role, text; node ids are unique.
+    nodes: node long, parent long, tree, score, role, text; node ids are unique. A path counts for its leaf's tree.
     """
-    slim = nodes.select("node", "parent")
-    steps = paths(slim).select("leaf", F.posexplode("path").alias("place", "node"))
-    steps = cut(steps.join(nodes.select("node", "tree", F.coalesce("score", F.lit(0)).cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "node"))
-    ranked = steps.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
-    ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))).where(F.col("branch") <= branches)
-    chosen = steps.join(ranked.select("leaf", "branch"), "leaf")
+    steps = chosen(nodes.select("node", "parent", "tree", F.coalesce("score", F.lit(0)).cast("double").alias("score")), branches)
+    said = nodes.select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = F.transform(F.sort_array(F.collect_list(F.struct("place", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return chosen.groupBy("tree", "leaf", "branch").agg(turns.alias("turns")).drop("leaf")
+    return steps.join(said, "node").groupBy("tree", "leaf", "branch").agg(turns.alias("turns")).drop("leaf")
 
 
 def formatted(chats: DataFrame) -> DataFrame:
