@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 
 from tessera.llm.common import table
 
@@ -117,5 +118,19 @@ def pipeline(spark, sf_dir):
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
+def _reply_sql() -> str:
+    from tessera.llm.chat import CLOSE, CONTROLS, ESCAPE, OPEN, SEP
+
+    pattern = "|".join(re.escape(c) for c in (ESCAPE, *CONTROLS))
+    size = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{pattern}'))"
+    return f"""with t as (select conv_id::bigint c, turn::bigint n, role r, text x from conversations
+ union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o as (select c, row_number() over (partition by c order by n nulls first, r nulls first, x nulls first) i, coalesce(r, '') r, coalesce(x, '') x from t)
+select c as conv_id, count(*)::bigint as n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by i)) as turns_sha256,
+ coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(x, '' order by i) filter (r = 'assistant'), '')) as loss_sha256,
+ sum({len(OPEN) + len(SEP) + len(CLOSE)} + {size("r")} + {size("x")})::bigint as formatted_chars from o group by c"""
+
+
 ORACLE_SQL["op1_mixture"] = _mixture_sql()
+ORACLE_SQL["op5_reply_trees"] = _reply_sql()
 QUERIES = {f.__name__: f for f in (op1_mixture, op2_simple8b, op3_secrets, op4_interleave, op5_reply_trees, op6_ngram_trie, op7_spaced_seeds, op8_toxic_crf, op9_histogram_topk, op10_simhash, pipeline)}
