@@ -55,15 +55,17 @@ def build(x: np.ndarray, universe: int, name: str) -> tuple[dict[str, np.ndarray
     marks = np.zeros(-(-length // 512) * 512, bool)
     marks[(x >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = True
     high = np.packbits(marks, bitorder="little").view(np.uint64)
-    ones = np.append(0, np.cumsum(marks.reshape(-1, 512).sum(axis=1)))
-    return {f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones.astype(np.uint64)}, {f"{name}.n": n, f"{name}.bits": bits}
+    words = marks.reshape(-1, 8, 64).sum(axis=2)
+    ones = np.append(0, np.cumsum(words.sum(axis=1)))
+    part = np.cumsum(words, axis=1) - words
+    return {f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones.astype(np.uint64), f"{name}.part": part.ravel().astype(np.uint16)}, {f"{name}.n": n, f"{name}.bits": bits}
 
 
 class Sequence:
     """A coded sequence, as views into a file."""
 
     def __init__(self, arrays: dict[str, np.ndarray], meta: dict, name: str):
-        self.low, self.high, ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones"))
+        self.low, self.high, ones, self.part = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "part"))
         self.n, self.bits = meta[f"{name}.n"], meta[f"{name}.bits"]
         self.ones = ones.astype(np.int64)
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
@@ -81,19 +83,22 @@ class Sequence:
         before = self.ones if ones else self.zeros
         block = np.searchsorted(before, rank, side="right") - 1
         left = (rank - before[block]).astype(np.int64)
-        words = self.high[(block[:, None] * 8) + np.arange(8)]
-        if not ones:
-            words = ~words
-        count = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        k = (count <= left[:, None]).sum(axis=1)
-        row = np.arange(len(rank))
-        left -= np.where(k > 0, count[row, k - 1], 0)
-        word = words[row, k]
-        eight = word.view(np.uint8).reshape(-1, 8)
-        count = np.cumsum(np.bitwise_count(eight), axis=1, dtype=np.int64)
-        b = (count <= left[:, None]).sum(axis=1)
-        left -= np.where(b > 0, count[row, b - 1], 0)
-        return block * 512 + k * 64 + b * 8 + SELECT[eight[row, b], left]
+        # Halve the block's eight words by their stored counts, then the word by its own, down to a byte.
+        at = block * 8
+        for step in (4, 2, 1):
+            here = self.part[at + step].astype(np.int64)
+            at += step * ((here if ones else (at + step & 7) * 64 - here) <= left)
+        here = self.part[at].astype(np.int64)
+        left -= here if ones else (at & 7) * 64 - here
+        word = self.high[at] if ones else ~self.high[at]
+        place = at * 64
+        for width in (32, 16, 8):
+            here = np.bitwise_count(word & np.uint64((1 << width) - 1))
+            on = here <= left
+            left -= here * on
+            place += width * on
+            word = word >> (on * np.uint64(width))
+        return place + SELECT[word & np.uint64(255), left]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
