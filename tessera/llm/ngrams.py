@@ -41,7 +41,7 @@ END = b"\n"
 #: Steps of log10 in a 16-bit code, of which 0 is "none".
 STEP = 12.0 / 65534
 #: Tokens in a shard of a level, documents in a shard of level 1, tokens that a task counts before it sends them.
-SHARD_TOKENS, SHARD_DOCS, BUFFER_TOKENS = 4_000_000, 8192, 2_000_000
+SHARD_TOKENS, SHARD_DOCS, BUFFER_TOKENS = 4_000_000, 8192, 1_000_000
 #: Tokens that are scored at once.
 SCORE_TOKENS = 800_000
 RUN = "shard int, keys binary, counts binary"
