@@ -64,6 +64,17 @@ def test_reply_trees_rank_branches(spark):
     assert got == want
 
 
+def test_reply_trees_edges(spark):
+    rows = [(1, None, 1, 2.0, "user", "hub"), *[(10 + i, 1, 1, 1.0, "user", str(i)) for i in range(50)]]  # ties: the smaller leaf
+    rows += [(100, 10 + 49, 2, 5.0, "assistant", "moved")]  # a path counts for its leaf's tree
+    rows += [(200, 201, 3, 1.0, "user", "a"), (201, 200, 3, 1.0, "user", "b"), (202, 201, 3, 1.0, "user", "c")]  # hangs off a circle
+    rows += [(300, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "node long, parent long, tree long, score double, role string, text string")
+    got = {(r.tree, r.branch): [t.text for t in r.turns] for r in chat.conversations(df, 2).collect()}
+    assert got == {(1, 1): ["hub", "0"], (1, 2): ["hub", "1"], (2, 1): ["hub", "49", "moved"], (None, 1): [""]}
+    assert chat.conversations(df.limit(0)).collect() == []
+
+
 def slow_overlaps(x, y):
     width = min(13, len(y))
     need = 11 if width == 13 else width
