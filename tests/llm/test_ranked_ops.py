@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import bitslice, simhash, tokenstore
+from tessera.llm import bitslice, simhash, tokenstore, topk
 from tessera.llm.sharding import interleave
 from tessera.llm.topk import histogram_topk
 
@@ -121,6 +121,47 @@ def test_topk_large_components_and_repeated_ids(spark):
     assert got == [tuple(r) for r in histogram_topk(spark.createDataFrame(rows[::-1], schema), dim=4).orderBy("rank").collect()]
 
 
+def test_topk_of_many_query_blocks_copies_no_vectors(spark, monkeypatch):
+    """No query block is copied for each candidate block: such copies were broadcast, and the driver's memory grew with the square of the table."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(4000)] + [(i, [2.0] * 4) for i in range(4000, 4400)]
+    out = topk.histogram_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5, 256, dim=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == 88 * 5 and set(got) == brute_topk(rows, 50, 5)
+
+
+@pytest.mark.parametrize("most", [3, 40_000, 900_000_000])  # products that fit 24, 53 and 62 bits
+def test_topk_chunks_of_several_slices(most):
+    """Histograms and best scores of a chunk against plain lists; equal scores, repeated ids and a query's own rows among them."""
+    rng = np.random.default_rng(most)
+    c = rng.integers(-most, most, (90, 4), endpoint=True).astype(float)
+    c[30:50] = c[7]
+    ids = np.concatenate([rng.permutation(80), np.arange(10)])
+    qi, q = np.arange(0, 80, 20), c[[int(np.flatnonzero(ids == i)[0]) for i in range(0, 80, 20)]]
+    slices = [(ids[a : a + 25], c[a : a + 25]) for a in range(0, 90, 25)]
+    bound = most * most * 4 + 1
+    for lo, width, first in ((-bound, 2 * bound + 1, True), (-bound // 8, bound // 4, False)):
+        step = -(-width // topk.BINS)
+        got = list(zip(*(x.tolist() for x in topk._histogram(qi, q, np.full(4, lo), slices, 5, step, width, first)), strict=True))
+        want = []
+        for r in range(4):
+            scores = [sum(int(x) * int(y) for x, y in zip(q[r], v, strict=True)) for i, v in zip(ids, c, strict=True) if i != qi[r]]
+            seen = 0
+            for at, n in sorted(Counter((s - lo) // step for s in scores if lo <= s < lo + width).items(), reverse=True):
+                want += [(r, at, n)] if seen < 5 else []
+                seen += n
+        assert sorted(got) == sorted(want)
+    best = list(zip(*(x.tolist() for x in topk._best(qi, q, np.full(4, -bound), slices, 5)), strict=True))
+    want = []
+    for r in range(4):
+        s = sorted((-sum(int(x) * int(y) for x, y in zip(q[r], v, strict=True)), int(i)) for i, v in zip(ids, c, strict=True) if i != qi[r])
+        want += [(r, i, -v) for v, i in s[:5]]
+    assert best == want
+
+
 def slow_fingerprint(text, size=3):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
     grams = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
