@@ -9,6 +9,10 @@ such texts to the near-duplicate stage, has no tokens in the mixture and size 1
 never a duplicate and otherwise treated as any other. Rows that repeat a doc_id are judged by their texts for toxicity
 and leaks; as duplicates and in the mixture they stand or fall together; each has a slot. Extra columns pass through all
 stages but the last, whatever their names. An empty table gives an empty table.
+
+Memory: the stages that hand texts to Python lower the session's bound on an Arrow batch to BATCH_BYTES, since executors
+and their Python workers hold a batch several times over. A lower bound that is set already stays. It says how rows are
+parted on their way, never which rows go.
 """
 
 from __future__ import annotations
@@ -25,19 +29,31 @@ from tessera.llm.toxicity import keep_clean, train
 
 #: The mixture asks for this share of the tokens that are left, from at most two epochs of a leaf.
 NUMERATOR, DENOMINATOR, EPOCHS, SEED = 9, 10, 2, 11
+#: Bytes of rows that are handed to Python at once, or one row; Spark's default is 64 MB.
+BATCH_BYTES, BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: SQL cannot express a chain's marginals or fingerprints.
 ORACLE_SQL = None
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session. It stays so: a stage's result is computed after the stage has returned."""
+    now = spark.conf.get(BATCH)
+    if now.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -16,7 +16,7 @@ fingerprint cannot tell that reliably, so here it has WIDE bits:
 5. Components over the checked links are the groups; the smallest doc_id of each stays.
 
 Memory: a comparison holds two blocks of rows (bitslice.py), and with sets two blocks of BLOCK_SHINGLES or one text;
-Spark hands Arrow batches of 64 MB at most to Python.
+Spark hands Arrow batches of 64 MB at most to Python, the pipeline fewer.
 
 Edge cases: texts of fewer than five words are one shingle; null and blank texts are one text without words, alike only
 to each other; rows that repeat a doc_id are one document, so they stand or fall together, and a document with several
@@ -76,9 +76,9 @@ PLACES, SPREAD, ORDERS = _odd(SHINGLE, 1), _odd(WIDE // 64, 2), _odd(2 * KEYS, 3
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to MOST of them."""
+    """64-bit hashes of words, remembered up to MOST of them: each takes over 100 bytes of every worker."""
 
-    MOST = 400_000
+    MOST = 50_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)

@@ -272,3 +272,42 @@ def test_streams_are_cut_between_groups(monkeypatch):
         assert [n for t in out for n in t.column("n").to_pylist()] == list(range(200))
         seen = [set(t.column("key").to_pylist()) for t in out]
         assert sum(map(len, seen)) == len(set().union(*seen)) and len(out) > 10
+
+
+def test_python_gets_small_batches(spark):
+    import corpus_pipeline as pipeline
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    key, texts = pipeline.BATCH, spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('x', 5000) text")
+    before = spark.conf.get(key)
+    try:
+        pipeline.in_small_batches(spark)
+        got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) <= pipeline.BATCH_BYTES + 10_000
+        spark.conf.set(key, "1m")
+        pipeline.in_small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+        spark.conf.set(key, before)
+        benchmark = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+        spark.conf.set(key, "64m")
+        pipeline.table, held = lambda *_: benchmark, pipeline.table
+        try:
+            pipeline.decontamination(spark, texts, "")
+        finally:
+            pipeline.table = held
+        assert spark.conf.get(key) == str(pipeline.BATCH_BYTES)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_word_cache_is_small():
+    hashes = neardup.WordHashes()
+    text = " ".join(f"word{i}" for i in range(200_000))
+    digest, sets = neardup.shingles(text, hashes)
+    again = neardup.shingles(text, hashes)
+    assert len(hashes) <= 50_000 and digest == again[0] and (sets == again[1]).all() and len(sets) == 199_996
