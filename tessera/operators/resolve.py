@@ -11,8 +11,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,99 +139,198 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Entity:
-    """A registry entry: what matching sees of its merged members."""
-
-    def __init__(self, r, number: int):
-        self.number, self.names = number, [r.name] if r.name else []
-        self.domain, self.phones, self.profiles = r.domain, set(r.phones), dict(p.split(":", 1) for p in r.profiles)
-        self.places, self.key, self.name = list(r.places), r.name_key, r.name
-
-    def profile_set(self) -> set[str]:
-        return {f"{k}:{v}" for k, v in self.profiles.items()}
-
-    def absorb(self, other: _Entity) -> None:
-        self.domain = self.domain or other.domain
-        self.phones |= other.phones
-        self.profiles = other.profiles | self.profiles
-        self.places += [p for p in other.places if p not in self.places]
-        self.names += other.names
-        plain = [n for n in self.names if not n.startswith("@") and "." not in n]
-        if self.name != (best := (plain or self.names or [None])[0]):
-            self.name, self.key = best, other.key if best == other.name else self.key
-
-
-def matches(a: _Entity, b: _Entity) -> bool:
-    """The five tiers (J4-J9), in order."""
-    if a.domain and b.domain:
-        return a.domain == b.domain
-    if a.phones & b.phones or a.profile_set() & b.profile_set():
-        return True
-    if a.places and b.places and not set(a.places) & set(b.places):
-        return False
-    if a.key and a.key == b.key:
-        return True
-    return bool(a.name and b.name) and len(a.name) >= NEAR_LETTERS and len(b.name) >= NEAR_LETTERS and near(a.name, b.name)
-
-
-#: Pairs of names that a task has judged.
-_JUDGED: dict[tuple[str, str], bool] = {}
-
-
-def near(a: str, b: str) -> bool:
-    """Tier 5 for two names, in this order; lengths too far apart cannot match enough letters."""
-    if (a, b) not in _JUDGED:
-        if len(_JUDGED) > 500_000:
-            _JUDGED.clear()
-        x, y = a.lower().strip(), b.lower().strip()
-        short, long = sorted((len(x), len(y)))
-        _JUDGED[a, b] = short >= long * (NEAR / (2 - NEAR)) - 1e-9 and similarity(x, y) >= NEAR
-    return _JUDGED[a, b]
+    """A candidate or a registry entry: what matching sees of it or of its merged members."""
+
+    __slots__ = ("contacts", "domain", "key", "low", "name", "number", "places", "plain", "platforms")
+
+    def __init__(self, number: int, name, domain, phones, profiles, name_key, places):
+        self.number, self.domain, self.places = number, domain or None, set(places)
+        self.platforms = dict(p.split(":", 1) for p in profiles)
+        self.contacts = {*phones, *(f"{k}:{v}" for k, v in self.platforms.items())}
+        self._call(name, name_key)
+
+    def _call(self, name: str | None, key: str | None) -> None:
+        self.name, self.key = name, key
+        self.plain = bool(name) and not name.startswith("@") and "." not in name
+        self.low = name.lower().strip() if name and len(name) >= NEAR_LETTERS else None
+
+    def absorb(self, c: _Entity) -> set | None:
+        """Take what a candidate adds; the keys (see keys()) that the entry got by it, or None."""
+        renamed = bool(c.name) and (not self.name or (c.plain and not self.plain))
+        fresh = {k: v for k, v in c.platforms.items() if k not in self.platforms} if c.platforms else {}
+        if not (renamed or fresh or (c.domain and not self.domain) or not c.places <= self.places or not c.contacts <= self.contacts):
+            return None
+        before = set(self.keys())
+        self.domain = self.domain or c.domain
+        self.contacts |= {p for p in c.contacts if ":" not in p} | {f"{k}:{v}" for k, v in fresh.items()}
+        self.platforms |= fresh
+        self.places |= c.places
+        if renamed:
+            self._call(c.name, c.key)
+        return set(self.keys()) - before
+
+    def groups(self) -> list[tuple]:
+        return [(kind, x) for kind, x in (("key", self.key), ("low", self.low)) if x]
+
+    def keys(self) -> Iterator[tuple]:
+        """All that others may meet it by: (domain,) or (lacks a domain, contact or name, place)."""
+        if self.domain:
+            yield (self.domain,)
+        for open_ in (False,) if self.domain else (False, True):
+            for p in self.contacts:
+                yield (open_, p, ANYWHERE)
+            for g in self.groups():
+                yield (open_, g, ANYWHERE)
+                for place in self.places or (NOWHERE,):
+                    yield (open_, g, place)
+
+    def holds(self, key: tuple) -> bool:
+        """Whether a key it once had still is one. A key that was lost never comes back."""
+        if len(key) == 1:
+            return True
+        open_, what, place = key
+        return not (open_ and self.domain) and not (isinstance(what, tuple) and what[1] != (self.key if what[0] == "key" else self.low)) and not (place is NOWHERE and self.places)
+
+
+#: In place of a place: any or none, and none known.
+ANYWHERE, NOWHERE = 0, 1
+
+
+class _Firsts:
+    """The registry by keys: for each key the number of the first entry that holds it, in steps that do not grow with the block.
+
+    The five tiers (J4-J9) in these keys: equal domains, if both have one; else a common phone or profile; else equal name
+    keys or near names, at a common place or where one of the two has no place.
+    """
+
+    def __init__(self, near_first: bool, names: _Near):
+        self.heaps: dict[tuple, list[int]] = {}
+        self.near_first, self.names = near_first, names
+
+    def first(self, key: tuple, entries: dict[int, _Entity] | None) -> int | None:
+        heap = self.heaps.get(key)
+        while heap and entries is not None and not entries[heap[0]].holds(key):
+            heappop(heap)
+        return heap[0] if heap else None
+
+    def find(self, c: _Entity, entries: dict[int, _Entity] | None = None) -> int | None:
+        """The least number that matches. entries: as they are now, where they change."""
+        open_ = c.domain is not None
+        keys = [(c.domain,)] if open_ else []
+        keys += [(open_, p, ANYWHERE) for p in c.contacts]
+        groups = [("key", c.key)] if c.key else []
+        if c.low:
+            groups += [("low", x) for x in self.names.near(c.low, self.near_first)]
+        for g in groups:
+            keys += [(open_, g, place) for place in (*c.places, NOWHERE)] if c.places else [(open_, g, ANYWHERE)]
+        return min((n for k in keys if (n := self.first(k, entries)) is not None), default=None)
+
+    def put(self, keys, number: int, changes: bool) -> None:
+        """changes: entries may lose keys, so later numbers are kept; else the least is enough."""
+        for k in keys:
+            heap = self.heaps.setdefault(k, [])
+            if changes:
+                heappush(heap, number)
+            elif not heap or number < heap[0]:
+                heap[:] = [number]
+
+
+class _Near:
+    """Tier 5: the lower-cased names that are near to a name, itself among them."""
+
+    def __init__(self):
+        self.listed: dict[str, set[str]] = {}
+        self.judged: dict[tuple[str, bool], list[str]] = {}
+        self.others: list[str] | None = None
+
+    def told(self, low: str, names) -> None:
+        """The names that near_pairs found for a name; they come with its first candidate."""
+        self.listed.setdefault(low, set()).update(x.lower().strip() for x in names)
+        self.judged.pop((low, True), None), self.judged.pop((low, False), None)
+
+    def near(self, low: str, first: bool) -> list[str]:
+        """first: those x of which near(x, low) holds, else near(low, x)."""
+        if (low, first) not in self.judged:
+            others = self.listed.get(low, ()) if self.others is None else self.others
+            self.judged[low, first] = [low] + [x for x in others if x != low and (near(x, low) if first else near(low, x))]
+        return self.judged[low, first]
+
+
+def near(x: str, y: str) -> bool:
+    """Tier 5 for two lower-cased names, in this order; lengths too far apart cannot match enough letters."""
+    short, long = sorted((len(x), len(y)))
+    return short >= long * (NEAR / (2 - NEAR)) - 1e-9 and similarity(x, y) >= NEAR
+
+
+class _Block:
+    """The ordered rules over candidates in order of arrival, one at a time."""
+
+    def __init__(self, mode: str):
+        self.live, self.names = mode == "live", _Near()
+        self.index, self.entries = _Firsts(self.live, self.names), {}
+
+    def take(self, c: _Entity) -> int:
+        """The number of the first member of the candidate's cluster.
+
+        live (J1): each candidate against merged entries, the entry first; the first that matches absorbs it.
+        batch (J3): each candidate against the members of clusters, the candidate first; it joins the first cluster with a match.
+        """
+        hit = self.index.find(c, self.entries if self.live else None)
+        if hit is None or not self.live:
+            hit = c.number if hit is None else hit
+            self.index.put(c.keys(), hit, self.live)
+            if self.live:
+                self.entries[hit] = c
+        elif got := self.entries[hit].absorb(c):
+            self.index.put(got, hit, True)
+        return hit
+
+
+KEYED = ["name", "domain", "phones", "profiles", "name_key", "places"]
+
+
+def _numbers(block: pd.DataFrame, mode: str) -> list[int]:
+    run = _Block(mode)
+    rows = [_Entity(i, *r) for i, r in enumerate(block[KEYED].itertuples(index=False))]
+    run.names.others = list(dict.fromkeys(c.low for c in rows if c.low))
+    return [run.take(c) for c in rows]
 
 
 def _live(block: pd.DataFrame) -> list[int]:
-    """Each candidate against merged entries, the entry first; the first that matches absorbs it."""
-    entries, out = [], []
-    for i, r in enumerate(block.itertuples()):
-        c = _Entity(r, i)
-        hit = next((e for e in entries if matches(e, c)), None)
-        if hit is None:
-            entries.append(c)
-            hit = c
-        else:
-            hit.absorb(c)
-        out.append(hit.number)
-    return out
+    return _numbers(block, "live")
 
 
 def _batch(block: pd.DataFrame) -> list[int]:
-    """Each candidate against the members of clusters, the candidate first; it joins the first cluster with a match."""
-    clusters, out = [], []
-    for i, r in enumerate(block.itertuples()):
-        c = _Entity(r, i)
-        hit = next((m for m in clusters if any(matches(c, x) for x in m)), None)
-        if hit is None:
-            clusters.append([c])
-            hit = clusters[-1]
-        else:
-            hit.append(c)
-        out.append(hit[0].number)
-    return out
+    return _numbers(block, "batch")
 
 
 def clusters(candidates: DataFrame, mode: str = "live") -> DataFrame:
-    """cand_id, cluster_id (the first member's cand_id). mode: "live" registry or "batch" merge."""
-    k = stored(keyed(candidates))
-    edges = pairs(key_rows(k)).select("a", "b").union(near_pairs(k).select("a", "b"))
-    blocks = components(edges)
-    inside = k.join(blocks, k.cand_id == blocks.node)
+    """cand_id, cluster_id (the first member's cand_id). mode: "live" registry or "batch" merge.
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("cand_id", ignore_index=True).astype({"name": object, "domain": object, "name_key": object})
-        block = block.where(block.notna(), None)
-        numbers = (_live if mode == "live" else _batch)(block)
-        return pd.DataFrame({"cand_id": block["cand_id"].astype("int64"), "cluster_id": block["cand_id"].astype("int64").iloc[numbers].to_numpy()})
-
-    found = inside.groupBy("root").applyInPandas(run, "cand_id long, cluster_id long")
+    A block's rows pass through one task in order of arrival; the task holds its registry, not the rows.
+    """
+    k = stored(keyed(candidates))
+    close = stored(near_pairs(k))
+    blocks = components(pairs(key_rows(k)).select("a", "b").union(close.select("a", "b")))
+    both = close.where("ratio < 1").select("a", "b").union(close.where("ratio < 1").select("b", "a"))
+    names = k.select(F.col("cand_id").alias("b"), F.col("name").alias("near"))
+    told = both.join(names, "b").groupBy(F.col("a").alias("cand_id")).agg(F.collect_set("near").alias("near"))
+    inside = k.join(blocks, k.cand_id == blocks.node).join(told, "cand_id", "left").select("root", "cand_id", *KEYED, "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        for batch in batches:
+            found = []
+            for root, i, *r, close in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != now:
+                    now, block = root, _Block(mode)
+                c = _Entity(i, *r)
+                if close and c.low:
+                    block.names.told(c.low, close)
+                found.append(block.take(c))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.int64())], ["cand_id", "cluster_id"])
+
+    found = inside.repartition("root").sortWithinPartitions("root", "cand_id").mapInArrow(run, "cand_id long, cluster_id long")
     alone = k.join(blocks, k.cand_id == blocks.node, "left_anti").select("cand_id", F.col("cand_id").alias("cluster_id"))
     return found.unionByName(alone)
 
