@@ -83,15 +83,37 @@ def pairs(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["kind", "key"]).where("cand_id != a").select("a", F.col("cand_id").alias("b"), "kind").distinct()
 
 
+#: Members of a key that are paired with each other, or with as many others, in one step of a join.
+SLICE = 2000
+
+
 def all_pairs(k: DataFrame, kind: str) -> DataFrame:
-    """a, b: every pair (a < b) that matches by one exact tier alone, vetoes and locations included."""
-    left, right = k.select([F.col(c).alias(f"l_{c}") for c in k.columns]), k.select([F.col(c).alias(f"r_{c}") for c in k.columns])
-    rows = key_rows(k).where(F.col("kind") == kind)
-    met = rows.select(F.col("cand_id").alias("a"), "key").join(rows.select(F.col("cand_id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    met = met.join(left, F.col("a") == F.col("l_cand_id")).join(right, F.col("b") == F.col("r_cand_id"))
-    veto = F.coalesce(F.col("l_domain") != F.col("r_domain"), F.lit(False))
-    shared = F.arrays_overlap("l_places", "r_places") | (F.size("l_places") == 0) | (F.size("r_places") == 0)
-    return met.where(~veto & (shared if kind == "name" else F.lit(True))).select("a", "b")
+    """a, b: every pair (a < b) that matches by one exact tier alone, vetoes and locations included.
+
+    A key's members are dealt to slices of about SLICE, and each two slices meet by a key of their own, so that no task
+    gets all pairs of a key and rows are shuffled, not pairs. What the vetoes look at travels with the rows. A pair that
+    shares several keys comes from the least of them.
+    """
+    values = {"domain": F.array_compact(F.array("domain")), "phone": F.col("phones"), "profile": F.col("profiles"), "name": F.array_compact(F.array("name_key"))}[kind]
+    rows = k.select("cand_id", F.array_distinct(F.array_compact(values)).alias("keys"), "domain", "places").withColumn("key", F.explode("keys"))
+    # Only what the tier looks at travels on.
+    rows = rows.select("cand_id", "key", *{"domain": [], "phone": ["keys", "domain"], "profile": ["keys", "domain"], "name": ["domain", "places"]}[kind])
+    many = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    rows = rows.join(many, "key").withColumn("own", F.pmod(F.xxhash64("cand_id"), "slices").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "slices")
+    left, right = rows.select([F.col(c).alias(f"l_{c}") for c in rows.columns]), rows.select([F.col(c).alias(f"r_{c}") for c in rows.columns])
+    # Two members of one slice meet only in that slice's own cell, others in the cell of both slices.
+    here = (F.col("l_key") == F.col("r_key")) & (F.col("l_low") == F.col("r_low")) & (F.col("l_high") == F.col("r_high")) & (F.col("l_cand_id") < F.col("r_cand_id"))
+    here &= (F.col("l_own") != F.col("r_own")) | (F.col("l_low") == F.col("l_high"))
+    if kind != "domain":
+        here &= ~F.coalesce(F.col("l_domain") != F.col("r_domain"), F.lit(False))
+    if kind == "name":
+        here &= F.arrays_overlap("l_places", "r_places") | (F.size("l_places") == 0) | (F.size("r_places") == 0)
+    if kind in ("phone", "profile"):
+        one = (F.size("l_keys") == 1) | (F.size("r_keys") == 1)
+        here &= one | (F.array_min(F.array_intersect("l_keys", "r_keys")) == F.col("l_key"))
+    return left.join(right, here).select(F.col("l_cand_id").alias("a"), F.col("r_cand_id").alias("b"))
 
 
 def near_pairs(k: DataFrame) -> DataFrame:

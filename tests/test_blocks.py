@@ -73,3 +73,18 @@ def test_steps_do_not_grow_with_the_block(mode):
     began = time.perf_counter()
     got = (resolve._live if mode == "live" else resolve._batch)(rows)
     assert got == [*range(15000), *range(15000)] and time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize("kind", ["domain", "phone", "profile", "name"])
+def test_all_pairs_in_slices(spark, monkeypatch, kind):
+    monkeypatch.setattr(resolve, "SLICE", 4)
+    rng = random.Random(3)
+    rows = [(i, None, rng.choice([None, "a.in", "b.in"]), rng.sample(["91", "92", "93"], rng.choice([0, 1, 2])), rng.sample(["f:x", "i:y"], rng.choice([0, 1, 2])), rng.choice([None, "rose", "lily"]), rng.sample(["pune", "goa"], rng.choice([0, 1, 2]))) for i in range(60)]
+    k = spark.createDataFrame(rows, "cand_id long, name string, domain string, phones array<string>, profiles array<string>, name_key string, places array<string>")
+    own = {"domain": lambda r: {r[2]} - {None}, "phone": lambda r: set(r[3]), "profile": lambda r: set(r[4]), "name": lambda r: {r[5]} - {None}}[kind]
+    near_by = lambda x, y: kind != "name" or not x[6] or not y[6] or set(x[6]) & set(y[6])
+    want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and own(x) & own(y) and not (x[2] and y[2] and x[2] != y[2]) and near_by(x, y)]
+    found = resolve.all_pairs(k, kind)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[a#" not in plan.split("Join", 1)[1] and plan.count("Join Inner") == 3  # pairs are not shuffled again
