@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions import text as X
 from tessera.functions.plain import similarity
@@ -51,8 +52,8 @@ def profile_keys() -> Column:
     return F.transform(F.filter(F.map_entries("social_profiles"), lambda e: ~X.blank(e["value"])), lambda e: F.concat(e["key"], F.lit(":"), bare(e["value"])))
 
 
-def keyed(candidates: DataFrame) -> DataFrame:
-    """cand_id, name and what matching looks at."""
+def _plain_keys(candidates: DataFrame) -> DataFrame:
+    """cand_id, name and what matching looks at, but for the name's key."""
     none = F.array().cast("array<string>")
     places = F.transform(F.filter(F.coalesce("locations", none), lambda x: ~X.blank(x)), lambda x: F.lower(F.trim(x)))
     return candidates.select(
@@ -61,14 +62,23 @@ def keyed(candidates: DataFrame) -> DataFrame:
         X.filled(F.col("domain")).alias("domain"),
         F.coalesce(phone_keys(), none).alias("phones"),
         F.coalesce(profile_keys(), none).alias("profiles"),
-        X.name_key("name").alias("name_key"),
         F.array_distinct(places).alias("places"),
     )
 
 
+def keyed(candidates: DataFrame) -> DataFrame:
+    """cand_id, name and what matching looks at."""
+    return _plain_keys(candidates).withColumn("name_key", X.name_key("name"))
+
+
+def low_name() -> Column:
+    """The name as tier 5 compares it; null if it is too short for that."""
+    return F.when(F.length("name") >= NEAR_LETTERS, X.filled(F.lower(F.trim("name"))))
+
+
 def key_rows(k: DataFrame) -> DataFrame:
     """cand_id, kind, key: one row for each key of each candidate."""
-    kinds = [("domain", F.array("domain")), ("phone", F.col("phones")), ("profile", F.col("profiles")), ("name", F.array("name_key"))]
+    kinds = [("domain", F.array("domain")), ("phone", F.col("phones")), ("profile", F.col("profiles")), ("name", F.array("name_key")), ("low", F.array(low_name()))]
     entries = F.concat(*[_entries(kind, a) for kind, a in kinds])
     return k.select("cand_id", F.explode(entries).alias("e")).select("cand_id", "e.kind", "e.key").where("key is not null").distinct()
 
@@ -116,6 +126,18 @@ def all_pairs(k: DataFrame, kind: str) -> DataFrame:
     return left.join(right, here).select(F.col("l_cand_id").alias("a"), F.col("r_cand_id").alias("b"))
 
 
+@F.pandas_udf(DoubleType())
+def _near_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio in the better order; 0 where the letters that both names hold are too few for NEAR in any order."""
+    return pd.Series([max(similarity(x, y), similarity(y, x)) if most_alike(x, y) >= NEAR else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def most_alike(a: str, b: str) -> float:
+    """What the ratio of two names cannot exceed, by their letters as bags."""
+    a, b = a.lower().strip(), b.lower().strip()
+    return 2.0 * sum(min(a.count(x), b.count(x)) for x in set(a)) / (len(a) + len(b)) if a and b else 0.0
+
+
 def near_pairs(k: DataFrame) -> DataFrame:
     """a, b, ratio: names of at least five letters whose ratio reaches NEAR in either order.
 
@@ -137,8 +159,11 @@ def near_pairs(k: DataFrame) -> DataFrame:
     prefix = ranked.where(F.col("rank") <= F.col("n") - least_shared).select("cand_id", "low", "n", "item")
     other = prefix.select([F.col(c).alias(f"r_{c}") for c in prefix.columns])
     met = prefix.join(other, (F.col("item") == F.col("r_item")) & (F.col("cand_id") < F.col("r_cand_id")) & (F.least("n", "r_n") >= F.greatest("n", "r_n") * (NEAR / (2 - NEAR)) - 1e-9))
-    met = met.select(F.col("cand_id").alias("a"), F.col("r_cand_id").alias("b"), "low", "r_low").distinct()
-    met = met.withColumn("ratio", F.greatest(X.similarity("low", "r_low"), X.similarity("r_low", "low"))).where(F.col("ratio") >= NEAR)
+    # Few bytes of pairs are much work for one task: a number of partitions that is given is kept, and the ratio is not
+    # taken for pure, or the filter would move before the exchange and ratios be found twice.
+    spread = int(k.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.select(F.col("cand_id").alias("a"), F.col("r_cand_id").alias("b"), "low", "r_low").repartition(spread, "a", "b").distinct()
+    met = met.withColumn("ratio", _near_ratio.asNondeterministic()("low", "r_low")).where(F.col("ratio") >= NEAR)
     return met.select("a", "b", "ratio").unionByName(same)
 
 
@@ -247,14 +272,19 @@ class _Firsts:
             keys += [(open_, g, place) for place in (*c.places, NOWHERE)] if c.places else [(open_, g, ANYWHERE)]
         return min((n for k in keys if (n := self.first(k, entries)) is not None), default=None)
 
-    def put(self, keys, number: int, changes: bool) -> None:
-        """changes: entries may lose keys, so later numbers are kept; else the least is enough."""
+    def put(self, keys, number: int, changes: bool) -> bool:
+        """Whether any key's numbers changed. changes: entries may lose keys, so later numbers are kept; else the least is enough."""
+        moved = False
         for k in keys:
             heap = self.heaps.setdefault(k, [])
             if changes:
                 heappush(heap, number)
             elif not heap or number < heap[0]:
                 heap[:] = [number]
+            else:
+                continue
+            moved = True
+        return moved
 
 
 class _Near:
@@ -284,12 +314,36 @@ def near(x: str, y: str) -> bool:
     return short >= long * (NEAR / (2 - NEAR)) - 1e-9 and similarity(x, y) >= NEAR
 
 
+#: Kinds of rows whose results a block remembers.
+SETTLED = 200_000
+
+
 class _Block:
     """The ordered rules over candidates in order of arrival, one at a time."""
 
     def __init__(self, mode: str):
         self.live, self.names = mode == "live", _Near()
         self.index, self.entries = _Firsts(self.live, self.names), {}
+        self.settled: dict[tuple, int] = {}
+
+    def row(self, number: int, name, domain, phones, profiles, name_key, places, near=None) -> int:
+        """take() for a row; near: what near_pairs found for its name. A row like one that changed nothing, with no
+        change since, has that one's result."""
+        kind = (name, domain, name_key, *phones, 0, *profiles, 0, *places)
+        hit = None if near else self.settled.get(kind)
+        if hit is None:
+            c = _Entity(number, name, domain, phones, profiles, name_key, places)
+            if near and c.low:
+                self.names.told(c.low, near)
+                self.settled.clear()
+            hit = self.take(c)
+            if len(self.settled) >= SETTLED:
+                self.settled.clear()
+            if not self.changed:
+                self.settled[kind] = hit
+            elif self.settled:
+                self.settled.clear()
+        return hit
 
     def take(self, c: _Entity) -> int:
         """The number of the first member of the candidate's cluster.
@@ -299,12 +353,16 @@ class _Block:
         """
         hit = self.index.find(c, self.entries if self.live else None)
         if hit is None or not self.live:
+            self.changed = hit is None
             hit = c.number if hit is None else hit
-            self.index.put(c.keys(), hit, self.live)
+            self.changed |= self.index.put(c.keys(), hit, self.live)
             if self.live:
                 self.entries[hit] = c
-        elif got := self.entries[hit].absorb(c):
-            self.index.put(got, hit, True)
+        else:
+            got = self.entries[hit].absorb(c)
+            self.changed = got is not None
+            if got:
+                self.index.put(got, hit, True)
         return hit
 
 
@@ -313,9 +371,9 @@ KEYED = ["name", "domain", "phones", "profiles", "name_key", "places"]
 
 def _numbers(block: pd.DataFrame, mode: str) -> list[int]:
     run = _Block(mode)
-    rows = [_Entity(i, *r) for i, r in enumerate(block[KEYED].itertuples(index=False))]
-    run.names.others = list(dict.fromkeys(c.low for c in rows if c.low))
-    return [run.take(c) for c in rows]
+    rows = list(block[KEYED].itertuples(index=False))
+    run.names.others = list(dict.fromkeys(low for r in rows if (low := _Entity(0, *r).low)))
+    return [run.row(i, *r) for i, r in enumerate(rows)]
 
 
 def _live(block: pd.DataFrame) -> list[int]:
@@ -329,32 +387,49 @@ def _batch(block: pd.DataFrame) -> list[int]:
 def clusters(candidates: DataFrame, mode: str = "live") -> DataFrame:
     """cand_id, cluster_id (the first member's cand_id). mode: "live" registry or "batch" merge.
 
-    A block's rows pass through one task in order of arrival; the task holds its registry, not the rows.
+    Blocks are found among candidates that differ in what links them, of each such kind the first. A block's rows pass
+    through one task in order of arrival; the task holds its registry, not the rows.
     """
-    k = stored(keyed(candidates))
-    close = stored(near_pairs(k))
-    blocks = components(pairs(key_rows(k)).select("a", "b").union(close.select("a", "b")))
-    both = close.where("ratio < 1").select("a", "b").union(close.where("ratio < 1").select("b", "a"))
-    names = k.select(F.col("cand_id").alias("b"), F.col("name").alias("near"))
-    told = both.join(names, "b").groupBy(F.col("a").alias("cand_id")).agg(F.collect_set("near").alias("near"))
-    inside = k.join(blocks, k.cand_id == blocks.node).join(told, "cand_id", "left").select("root", "cand_id", *KEYED, "near")
+    k = stored(_plain_keys(candidates))
+    linked = ["name", "domain", "phones", "profiles"]
+    kinds = stored(k.groupBy(*linked).agg(F.min("cand_id").alias("cand_id")).withColumn("name_key", X.name_key("name")))
+    close = stored(near_pairs(kinds).where("ratio < 1"))
+    blocks = components(pairs(key_rows(kinds)).select("a", "b").union(close.select("a", "b")))
+    both = close.select("a", "b").union(close.select("b", "a"))
+    names = kinds.select(F.col("cand_id").alias("b"), F.col("name").alias("near"))
+    told = both.join(names, "b").groupBy(F.col("a").alias("first")).agg(F.collect_set("near").alias("told"))
+    keys = F.coalesce("domain", "name_key", low_name()).isNotNull() | (F.size("phones") > 0) | (F.size("profiles") > 0)
+    kinds = kinds.where(keys).withColumnRenamed("cand_id", "first").join(blocks, F.col("first") == F.col("node"), "left").join(told, "first", "left")
+    kinds = kinds.select("first", F.coalesce("root", "first").alias("root"), "name_key", "told", *[F.col(c).alias(f"k_{c}") for c in linked])
+    same = F.lit(True)
+    for c in linked:
+        same &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    # Nothing meets a candidate without any of these, and they may be many.
+    bare = F.coalesce("name", F.lit("")).eqNullSafe("") & F.col("domain").isNull() & (F.size("phones") == 0) & (F.size("profiles") == 0)
+    every = k.where(~bare).join(kinds, same, "left")
+    inside = every.where("root is not null").select("root", "cand_id", *KEYED, F.when(F.col("cand_id") == F.col("first"), F.col("told")).alias("near"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, None
         for batch in batches:
             found = []
-            for root, i, *r, close in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, *r in zip(*map(_values, batch.columns), strict=True):
                 if root != now:
                     now, block = root, _Block(mode)
-                c = _Entity(i, *r)
-                if close and c.low:
-                    block.names.told(c.low, close)
-                found.append(block.take(c))
+                found.append(block.row(*r))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.int64())], ["cand_id", "cluster_id"])
 
     found = inside.repartition("root").sortWithinPartitions("root", "cand_id").mapInArrow(run, "cand_id long, cluster_id long")
-    alone = k.join(blocks, k.cand_id == blocks.node, "left_anti").select("cand_id", F.col("cand_id").alias("cluster_id"))
-    return found.unionByName(alone)
+    alone = every.where("root is null").select("cand_id").union(k.where(bare).select("cand_id"))
+    return found.unionByName(alone.withColumn("cluster_id", F.col("cand_id")))
+
+
+def _values(column: pa.Array) -> list:
+    """Values of a column, lists among them (a null one is empty), without an object for each on Arrow's side."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    ends, values = column.offsets.to_numpy().tolist(), column.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [values[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 # ---- merging ----

@@ -88,3 +88,55 @@ def test_all_pairs_in_slices(spark, monkeypatch, kind):
     assert sorted(tuple(r) for r in found.collect()) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "[a#" not in plan.split("Join", 1)[1] and plan.count("Join Inner") == 3  # pairs are not shuffled again
+
+
+@pytest.mark.parametrize("mode", ["live", "batch"])
+def test_rows_that_changed_nothing(mode, monkeypatch):
+    monkeypatch.setattr(resolve, "SETTLED", 7)
+    names = {None: None, "Alpha Dental": "alpha", "Alpha Dentals": "alphadentals", "Alpha Care": "alpha", "@alpha": "alpha", "@gamma": "gamma", "Gammma": "gammma"}
+    for seed in range(60):
+        rng = random.Random(seed)
+        some = lambda values, n: rng.sample(values, rng.choice(n))  # noqa: E731, B023
+        pool = [{"name": (n := rng.choice(list(names))), "key": names[n], "domain": rng.choice([None] * 3 + ["a.in", "b.in"]), "phones": some(["91", "92", "93"], [0, 0, 1, 2]), "profiles": {k: rng.choice("xy") for k in some(["f", "i"], [0, 0, 1])}, "places": some(["pune", "goa"], [0, 1, 2])} for _ in range(12)]
+        rows = [rng.choice(pool[: 2 + i // 12]) for i in range(120)]
+        assert (resolve._live if mode == "live" else resolve._batch)(block(rows)) == by_the_rules(rows, mode), seed
+    taken = []
+    monkeypatch.setattr(resolve, "SETTLED", 1000)
+    monkeypatch.setattr(resolve._Block, "take", lambda self, c, take=resolve._Block.take: taken.append(c.number) or take(self, c))
+    rows = block([{"name": f"Rose{i % 50}", "key": f"rose{i % 50}", "domain": f"d{i % 50}.in", "phones": ["91"], "profiles": {}, "places": []} for i in range(5000)])
+    assert (resolve._live if mode == "live" else resolve._batch)(rows) == [i % 50 for i in range(5000)] and len(taken) == 100
+
+
+def derived_like(rng, n):
+    names = ["Alpha Dental", "Alpha Dentals", "ALPHA dental", "Gammma Home", "Care", "ab", "", None, "Zeta Works"]
+    phones = [[], [], ["+91 9800000001"], ["+91 9800000002", "+91 9800000003"]]
+    out = []
+    for i in range(n):
+        p = [(v, None, None, None) for v in rng.choice(phones)]
+        out.append((i, rng.choice(names), rng.choice([None, None, None, "a.in", "b.in", ""]), p, rng.choice([{}, {}, {"f": "https://f.com/x"}]), rng.choice([[], ["Pune"], ["Goa", "Pune"]])))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["live", "batch"])
+def test_clusters_equal_the_rules_and_link_kinds_not_rows(spark, mode, monkeypatch):
+    rows = derived_like(random.Random(5), 400)
+    df = spark.createDataFrame(rows, "cand_id long, name string, domain string, phone_numbers array<struct<value:string,raw_value:string,source_url:string,source_type:string>>, social_profiles map<string,string>, locations array<string>")
+    linked = []
+    monkeypatch.setattr(resolve, "pairs", lambda rows, pairs=resolve.pairs: linked.append(rows.select("cand_id").distinct().count()) or pairs(rows))
+    got = {r.cand_id: r.cluster_id for r in resolve.clusters(df, mode).collect()}
+    keyed = resolve.keyed(df).orderBy("cand_id").collect()
+    want = by_the_rules([{"name": r.name, "key": r.name_key, "domain": r.domain, "phones": r.phones, "profiles": dict(p.split(":", 1) for p in r.profiles), "places": r.places} for r in keyed], mode)
+    assert [got[i] for i in range(400)] == want
+    assert linked[0] < len({str((r.name, r.domain, r.phones, r.profiles)) for r in keyed}) + 1 < 400
+
+
+def test_near_ratio_is_found_once_and_spread(spark):
+    k = spark.createDataFrame([(1, "alpha dental"), (2, "alpha dentals"), (3, "zzzzz")], "cand_id long, name string")
+    found = resolve.near_pairs(k)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "ArrowEvalPython" in plan.split("RepartitionByExpression")[0]
+    rng = random.Random(1)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc d", k=rng.choice([3, 8, 12]))) for _ in "ab")
+        assert similarity(a, b) <= resolve.most_alike(a, b)
