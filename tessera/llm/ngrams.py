@@ -64,8 +64,12 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 65535 - np.clip(steps, 0, 65534), 0).astype(np.uint16)
 
 
+#: What each code stands for.
+RESTORED = np.append(0.0, 10.0 ** -((65535 - np.arange(1, 65536).astype(float)) * STEP))
+
+
 def restore(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** -((65535 - code.astype(float)) * STEP), 0.0)
+    return RESTORED[code]
 
 
 def _runs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
@@ -111,13 +115,24 @@ def _by_shard(batches, build):
         yield build(now, runs)
 
 
+class Known(dict):
+    """Ids of words; new words get marks of -2 and down, in order, until they are looked up."""
+
+    new: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = mark = -2 - len(self.new)
+        self.new.append(word)
+        return mark
+
+
 class Lexicon:
     """Level 1."""
 
     def __init__(self, uris: list[str], bases: list[int], shard_bits: int, tokens: int, types: int):
         self.uris, self.bases, self.shard_bits, self.tokens, self.types = uris, np.array([*bases, types], np.int64), shard_bits, tokens, types
         self.open: dict[int, tuple] = {}
-        self.known: dict[bytes, int] = {}
+        self.known = Known()
 
     def shard(self, s: int):
         if s not in self.open:
@@ -128,12 +143,11 @@ class Lexicon:
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, -1 for those that training lacks."""
         known = self.known
-        try:
-            return np.array([known[w] for w in words], np.int64)
-        except KeyError:
-            if len(known) > 400_000:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
+        if len(known) > 400_000:
+            known.clear()
+        new = known.new = []
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if new:
             h = np.array([digest(w) for w in new], np.uint64)
             shard = (h >> np.uint64(64 - self.shard_bits)).astype(np.int64) if self.shard_bits else np.zeros(len(h), np.int64)
             out = np.full(len(h), -1, np.int64)
@@ -143,7 +157,9 @@ class Lexicon:
                     found = self.shard(int(s))[0].find(h[at] - (np.uint64(s) << np.uint64(64 - self.shard_bits) if self.shard_bits else np.uint64(0)))
                     out[at] = np.where(found >= 0, found + self.bases[s], -1)
             known.update(zip(new, out.tolist(), strict=True))
-            return np.array([known[w] for w in words], np.int64)
+            marked = np.flatnonzero(ids < -1)
+            ids[marked] = out[-2 - ids[marked]]
+        return ids
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of ids, 0 for -1."""
@@ -201,7 +217,8 @@ class Level:
             k = np.minimum(np.searchsorted(self.hot, parent[ok]), len(self.hot) - 1)
             is_hot = self.hot[k] == parent[ok]
             rest[ok[is_hot]] = self.spill[k[is_hot]]
-        order = np.argsort(shard, kind="stable")
+        # By shard, hot parents last, so that numbers ascend where parents do; numpy sorts 16 bits by digits.
+        order = np.argsort(narrow(2 * shard + (number >= self.local), 2 * len(self.uris)), kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             at, s = order[a:b], int(shard[order[a]])
@@ -247,11 +264,10 @@ class Model:
                 parent = np.full(len(ids), -1, np.int64)
                 parent[1:] = places[-1][:-1]
                 parent[begins] = -1
-            pairs = np.stack([parent, ids], axis=1)
             order = sorted_by(parent, ids, x.types + 1)
-            pairs = pairs[order]
-            first = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))
-            found, part, rest = level.look(pairs[first, 0], pairs[first, 1])
+            before, word = parent[order], ids[order]
+            first = np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1]))
+            found, part, rest = level.look(before[first], word[first])
             back = np.empty(len(ids), np.int64)
             back[order] = np.cumsum(first) - 1
             p = p if p is None else part[back] + rest[back] * p
@@ -259,6 +275,11 @@ class Model:
         return p, places
 
 
+def narrow(x: np.ndarray, end: int) -> np.ndarray:
+    """Numbers below end in 16 bits, if they fit."""
+    return x.astype(np.uint16) if end <= 1 << 16 else x
+
+
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """np.unique with the inverse; what is sorted already is not sorted again."""
     if (x[1:] < x[:-1]).any():

@@ -111,3 +111,16 @@ def test_query_counts_trigrams(spark, tmp_path):
     two, three = ({r[0]: r[6] for r in slow_scores(rows, order)} for order in (2, 3))
     assert all(abs(got[i] - three[i]) <= 5e-4 * 13 * 3 for i, _ in rows)
     assert max(abs(two[i] - three[i]) for i, _ in rows) > 0.1
+
+
+def test_steps_of_scoring_equal_the_plain_ones():
+    from tessera.llm import ngrams
+
+    codes = np.arange(65536).astype(np.uint16)
+    assert (ngrams.restore(codes) == np.where(codes > 0, 10.0 ** -((65535 - codes.astype(float)) * ngrams.STEP), 0.0)).all()
+    assert (ngrams.quantise(ngrams.restore(codes[3:])) == codes[3:]).all()
+    shards = np.array([3, 0, 3, 1])
+    assert (np.argsort(ngrams.narrow(shards, 4), kind="stable") == np.argsort(shards, kind="stable")).all() and ngrams.narrow(shards, 70_000) is shards
+    known = ngrams.Known({b"a": 5})
+    known.new = []
+    assert [known[w] for w in (b"x", b"a", b"y", b"x")] == [-2, 5, -3, -2] and known.new == [b"x", b"y"]
