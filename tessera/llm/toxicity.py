@@ -41,6 +41,8 @@ from tessera.llm.common import cut
 SAMPLE_ROWS, SAMPLE_LINES = 8_000, 8_000
 #: Bytes of the sampled texts: they are what the driver collects.
 SAMPLE_BYTES = 64_000_000
+#: Rows that the driver scores at once for the curve, and words that it remembers meanwhile: neither changes a score.
+FIT_ROWS, FIT_WORDS = 32, 50_000
 #: Values of a token's features: the word itself, its first letters, its last letters.
 SCALE = np.array([1.0, 0.5, 0.5])
 #: ASCII bytes that are not letters or digits part tokens, but lines stay apart; other bytes belong to UTF-8 letters.
@@ -93,6 +95,9 @@ def messages(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[
 class Model:
     """Weights of features and transitions, the curve from evidence to score."""
 
+    #: Words whose weights are remembered while scoring.
+    most = 1_000_000
+
     def __init__(self):
         self.weights: dict[tuple, float] = {}
         self.bias = -12.0
@@ -105,7 +110,7 @@ class Model:
         try:
             return np.array([known[w] for w in words], float)
         except KeyError:
-            if len(known) > 1_000_000:
+            if len(known) > self.most:
                 known.clear()
             weights = self.weights
             for w in set(words):
@@ -157,25 +162,35 @@ def toxic_words(docs: list[tuple[str | None, int]]) -> set[bytes]:
 
 
 class Thin:
-    """Lines, thinned by a hash of their words so that all count alike, to twice a number at most."""
+    """Lines, thinned by a hash of their words so that all count alike, to twice a number at most; each is held as one value."""
 
     def __init__(self, most: int):
         self.most, self.below, self.held = most, 1 << 32, []
 
     def add(self, line: list[bytes]) -> None:
-        h = zlib.crc32(b" ".join(line))
+        joined = b" ".join(line)
+        h = zlib.crc32(joined)
         if h < self.below:
-            self.held.append((h, line))
+            self.held.append((h, joined))
             while len(self.held) > 2 * self.most and self.below:
                 self.below >>= 1
                 self.held = [x for x in self.held if x[0] < self.below]
 
-    def take(self, n: int) -> list[list[bytes]]:
-        """n lines of the smallest hashes, in order of their arrival."""
+    def take(self, n: int) -> list[bytes]:
+        """n lines of the smallest hashes, in order of their arrival, their words joined by blanks."""
         least = sorted(h for h, _ in self.held)[:n]
         return [line for h, line in self.held if least and h <= least[-1]]
 
 
+def pair_sums(t: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Expected pairs of states over all places, from the odds on either side; one kind of pair is laid out at a time."""
+    kinds = [lambda: np.full(len(before), t[0, 0]), lambda: t[0, 1] * after, lambda: t[1, 0] * before, lambda: t[1, 1] * before * after]
+    total = kinds[0]()
+    for kind in kinds[1:]:
+        total += kind()
+    return np.array([(kind() / total).sum() for kind in kinds]).reshape(2, 2)
+
+
 def fit(docs: list[tuple[str | None, int]], lines: int = SAMPLE_LINES, rounds: int = 100, step: float = 1.0, l2: float = 1e-4) -> Model:
     """docs: texts and labels, in a fixed order."""
     model, bad = Model(), toxic_words(docs)
@@ -189,37 +204,41 @@ def fit(docs: list[tuple[str | None, int]], lines: int = SAMPLE_LINES, rounds: i
             (hot if any(w in bad for w in line) else cold).add(line)
     hot = hot.take(lines // 2)
     lines = hot + cold.take(max(1, lines - len(hot)))
-    flat = [w for line in lines for w in line]
-    lengths = np.array([len(x) for x in lines], np.int64)
-    gold = np.array([w in bad for w in flat], float)
+    lengths = np.array([line.count(b" ") + 1 for line in lines], np.int64)
+    kinds: dict[bytes, int] = {}
+    type_of = np.fromiter((kinds.setdefault(w, len(kinds)) for line in lines for w in line.split(b" ")), np.int32, lengths.sum())
+    del hot, cold, lines
+    gold = np.array([w in bad for w in kinds], float)[type_of]
     seen: Counter = Counter()
-    for w, n in Counter(flat).items():
+    for w, n in zip(kinds, np.bincount(type_of).tolist(), strict=True):
         for f in features(w):
             seen[f] += n
     index = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= 5)}
     del seen
-    kinds = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-    type_of = np.array([kinds[w] for w in flat])
     table = np.array([[index.get(f, len(index)) for f in features(w)] for w in kinds])
+    many = len(kinds)
+    del kinds
     weights, bias, trans = np.zeros(len(index) + 1), -4.0, np.zeros((2, 2))
     speed, speed_bias, speed_trans = np.full(len(weights), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     ends = np.cumsum(lengths)
-    inner = np.ones(len(flat), bool)
+    n = len(type_of)
+    inner = np.ones(n, bool)
     inner[ends - 1] = False
     at = np.flatnonzero(inner)
-    n = len(flat)
     gold_pairs = np.array([[((1 - gold[at]) * (1 - gold[at + 1])).sum(), ((1 - gold[at]) * gold[at + 1]).sum()], [(gold[at] * (1 - gold[at + 1])).sum(), (gold[at] * gold[at + 1]).sum()]])
     for _ in range(rounds):
         per_type = bias + (weights[table] * SCALE).sum(axis=1)
         emit = per_type[type_of]
         g, fore, back = messages(emit, lengths, trans)
+        del emit
         odds = fore * back
         wrong = gold - odds / (1 + odds)
-        by_type = np.bincount(type_of, wrong, minlength=len(kinds))
+        del odds
+        by_type = np.bincount(type_of, wrong, minlength=many)
         slope = np.bincount(table.ravel(), (by_type[:, None] * SCALE).ravel(), minlength=len(weights)) - l2 * n * 1e-2 * weights
         slope[-1] = 0
-        joint = np.exp(trans)[:, :, None] * np.stack([np.ones(len(at)), fore[at]])[:, None] * np.stack([np.ones(len(at)), (g * back)[at + 1]])[None]
-        slope_trans = gold_pairs - (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+        back *= g
+        slope_trans = gold_pairs - pair_sums(np.exp(trans), fore[at], back[at + 1])
         speed += slope**2
         speed_bias += wrong.sum() ** 2
         speed_trans += slope_trans**2
@@ -228,9 +247,10 @@ def fit(docs: list[tuple[str | None, int]], lines: int = SAMPLE_LINES, rounds: i
         trans += 0.1 * step * slope_trans / np.sqrt(speed_trans)
     model.weights = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 1e-3}
     model.bias, model.trans = float(bias), trans
-    x = np.array([model.evidence(o) for lo in range(0, len(docs), 500) for o in model.odds([t for t, _ in docs[lo : lo + 500]])])
+    model.most = FIT_WORDS
+    x = np.array([model.evidence(o) for lo in range(0, len(docs), FIT_ROWS) for o in model.odds([t for t, _ in docs[lo : lo + FIT_ROWS]])])
     model.curve = _logistic(x, np.array([y for _, y in docs], float))
-    model.words = {}
+    model.words, model.most = {}, Model.most
     return model
 
 

@@ -1,6 +1,7 @@
 """Operator 8: the chain against enumeration, the fitted model on held-out rows."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -68,3 +69,37 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
+
+
+def test_fit_holds_little_beside_its_sample():
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i:05d}" for i in range(60_000)])
+    bad = np.array(["grotz", "blarg", "vexor"])
+    docs = []
+    for i in range(800):
+        said = rng.choice(words, 300)
+        if i % 8 == 0:
+            said[25::100] = bad
+        docs.append(("\n".join(" ".join(said[lo : lo + 50]) for lo in range(0, 300, 50)), int(i % 8 == 0)))
+    tracemalloc.start()
+    model = toxicity.fit(docs, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.weights) > 0
+    assert most < 25 * sum(len(t) for t, _ in docs)
+
+
+def test_how_much_is_scored_at_once_changes_nothing(monkeypatch):
+    docs = [(t, y) for _, t, y in corpus(300)]
+    once = toxicity.fit(docs, rounds=20)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 7)
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 3)
+    again = toxicity.fit(docs, rounds=20)
+    assert again.curve == once.curve and again.weights == once.weights
+
+
+def test_pair_sums_against_all_kinds_at_once():
+    rng = np.random.default_rng(5)
+    t, before, after = np.exp(rng.normal(size=(2, 2))), np.exp(rng.normal(size=99)), np.exp(rng.normal(size=99))
+    joint = t[:, :, None] * np.stack([np.ones(99), before])[:, None] * np.stack([np.ones(99), after])[None]
+    assert np.allclose(toxicity.pair_sums(t, before, after), (joint / joint.sum(axis=(0, 1))).sum(axis=2))
