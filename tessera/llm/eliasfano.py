@@ -107,6 +107,25 @@ class Sequence:
             return np.zeros(0, np.uint64)
         return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.bits) | self._lows(i)
 
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 high bits from place at; zeros or others behind the last word."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        return self.high[word] >> shift | self.high[np.minimum(word + 1, len(self.high) - 1)] << ONE << (np.uint64(63) - shift)
+
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at places i and those at i + 1."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        place = self._select(i, True)
+        ahead = self._window(place + 1)
+        after = place + 1 + np.bitwise_count(~ahead & (ahead - ONE))
+        far = np.flatnonzero(ahead == 0)
+        if len(far):
+            after[far] = self._select(i[far] + 1, True)
+        bits = np.uint64(self.bits)
+        return (place - i).astype(np.uint64) << bits | self._lows(i), (after - i - 1).astype(np.uint64) << bits | self._lows(i + 1)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The places of numbers x, -1 where one is not in the sequence."""
         x = np.asarray(x, np.uint64)
@@ -118,15 +137,25 @@ class Sequence:
         h, want = h[q].astype(np.int64), (x & self.mask)[q]
         place = np.full(len(q), -1, np.int64)
         inner = h > 0
-        place[inner] = self._select(h[inner] - 1, False)
-        i = np.where(inner, place - h + 1, 0)
+        if inner.all():
+            place = self._select(h - 1, False)
+        else:
+            place[inner] = self._select(h[inner] - 1, False)
+        i = place - h + 1
+        place += 1
         while len(q):
-            place = place + 1
-            one = (self.high[place >> 6] >> (place & 63).astype(np.uint64) & ONE).astype(bool)
-            q, want, place, i = q[one], want[one], place[one], i[one]
-            low = self._lows(i)
-            same = low == want
-            out[q[same]] = i[same]
-            on = low < want
-            q, want, place, i = q[on], want[on], place[on], i[on] + 1
+            # As many numbers of the same high bits follow as ones do; a run may pass the window.
+            ahead = self._window(place)
+            run = np.bitwise_count(ahead & ~(ahead + ONE)).astype(np.int64)
+            at = np.flatnonzero(run)
+            k = 0
+            while len(at):
+                low = self._lows(i[at] + k)
+                same = low == want[at]
+                out[q[at[same]]] = i[at[same]] + k
+                k += 1
+                at = at[(low < want[at]) & (run[at] > k)]
+            long = np.flatnonzero(run == 64)
+            long = long[out[q[long]] < 0]
+            q, want, place, i = q[long], want[long], place[long] + 64, i[long] + 64
         return out

@@ -12,6 +12,9 @@ Smoothing is interpolated modified Kneser-Ney discounting of raw counts: three d
 numbers of k-grams seen once to four times, the rest passed to the shorter context; level 1 is the additive estimate
 (c + 0.5) / (N + 0.5 (V + 1)).
 
+Texts are split once: chunks of whole documents become files of a list of hashes and the numbers of the tokens in it,
+which every pass over the documents reads, so a pass looks up each different word of a chunk once.
+
 Counting is distributed: tasks count what they read, send each shard one compressed run of sorted keys and counts, and
 a shard's task merges its runs and writes its file. Files live in the shared folder. Only figures of shards come to the
 driver. All documents outside the held-out fifth are counted, whole.
@@ -24,12 +27,16 @@ scored each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import uuid
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +47,15 @@ from tessera.llm.common import cut, get_bytes, mapped, put_bytes, remove, scratc
 END = b"\n"
 #: Steps of log10 in a 16-bit code, of which 0 is "none".
 STEP = 12.0 / 65534
-#: Tokens in a shard of a level, documents in a shard of level 1, tokens that a task counts before it sends them.
+#: Tokens in a shard of a level, documents in a shard of level 1, tokens of a chunk, which is counted or scored at once.
 SHARD_TOKENS, SHARD_DOCS, BUFFER_TOKENS = 4_000_000, 8192, 1_000_000
-#: Tokens that are scored at once.
-SCORE_TOKENS = 800_000
+#: Chunks that one task takes; bytes of text for each token of BUFFER_TOKENS that end a chunk of long words early.
+TASK_CHUNKS, LONG = 2, 16
 RUN = "shard int, keys binary, counts binary"
 
 
-def digest(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 3)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words and the end; bytes.lower changes A-Z alone and bytes.split parts at ASCII white space alone."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+def digests(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(3)), np.uint64, len(words))
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -140,6 +140,18 @@ class Lexicon:
             self.open[s] = ef.Sequence(arrays, meta, "hash"), arrays["count"]
         return self.open[s]
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of hashes, -1 for those that training lacks."""
+        bits = self.shard_bits
+        shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        order = np.argsort(narrow(shard, len(self.uris)), kind="stable")
+        for s, at in _parts(shard, order):
+            if self.uris[s]:
+                found = self.shard(s)[0].find(hashes[at] - (np.uint64(s) << np.uint64(64 - bits) if bits else np.uint64(0)))
+                out[at] = np.where(found >= 0, found + self.bases[s], -1)
+        return out
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of words, -1 for those that training lacks."""
         known = self.known
@@ -148,14 +160,7 @@ class Lexicon:
         new = known.new = []
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if new:
-            h = np.array([digest(w) for w in new], np.uint64)
-            shard = (h >> np.uint64(64 - self.shard_bits)).astype(np.int64) if self.shard_bits else np.zeros(len(h), np.int64)
-            out = np.full(len(h), -1, np.int64)
-            for s in np.unique(shard):
-                if self.uris[s]:
-                    at = np.flatnonzero(shard == s)
-                    found = self.shard(int(s))[0].find(h[at] - (np.uint64(s) << np.uint64(64 - self.shard_bits) if self.shard_bits else np.uint64(0)))
-                    out[at] = np.where(found >= 0, found + self.bases[s], -1)
+            out = self.find(digests(new))
             known.update(zip(new, out.tolist(), strict=True))
             marked = np.flatnonzero(ids < -1)
             ids[marked] = out[-2 - ids[marked]]
@@ -192,7 +197,8 @@ class Level:
     def place(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The shard, and the parent's number in it."""
         n = len(self.uris)
-        shard, number = parent % n, parent // n
+        number = parent // n
+        shard = parent - number * n
         if len(self.hot):
             k = np.minimum(np.searchsorted(self.hot, parent), len(self.hot) - 1)
             hot = self.hot[k] == parent
@@ -205,40 +211,44 @@ class Level:
             self.open[s] = ef.Sequence(arrays, meta, "ptr"), ef.Sequence(arrays, meta, "next"), arrays["code"], arrays["rest"]
         return self.open[s]
 
-    def look(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For k-grams (parent, word): their place (-1: none), discounted probability, and what the parent passes on.
+    def order(self, shard: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The order by shard, hot parents last: of ascending k-grams it makes ascending places; numpy sorts 16 bits by digits."""
+        return np.argsort(narrow(2 * shard + (number >= self.local), 2 * len(self.uris) + 1), kind="stable")
+
+    def look(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For ascending k-grams (parent, word): an order in which their places ascend and, in this order, their
+        place (-1: none), discounted probability, and what the parent passes on.
 
         A parent or word of -1 is unknown; a parent without successors passes everything on.
         """
+        n = len(self.uris)
+        shard, number = self.place(parent, np.maximum(word, 0))
+        none = parent < 0
+        shard[none], number[none] = n, -1
+        order = self.order(shard, number)
+        number, word = number[order], word[order]
         place, p, rest = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
-        ok = np.flatnonzero(parent >= 0)
-        shard, number = self.place(parent[ok], np.maximum(word[ok], 0))
         if len(self.hot):  # what hot parents pass on is gathered from all shards
-            k = np.minimum(np.searchsorted(self.hot, parent[ok]), len(self.hot) - 1)
-            is_hot = self.hot[k] == parent[ok]
-            rest[ok[is_hot]] = self.spill[k[is_hot]]
-        # By shard, hot parents last, so that numbers ascend where parents do; numpy sorts 16 bits by digits.
-        order = np.argsort(narrow(2 * shard + (number >= self.local), 2 * len(self.uris)), kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            at, s = order[a:b], int(shard[order[a]])
+            far = np.flatnonzero(number >= self.local)
+            rest[far] = self.spill[number[far] - self.local]
+        cuts = np.append(0, np.cumsum(np.bincount(shard, minlength=n)))
+        for s in np.flatnonzero(np.diff(cuts[: n + 1])).tolist():
             if not self.uris[s]:
                 continue
+            a, b = cuts[s], cuts[s + 1]
             ptr, following, code, passes = self.shard(s)
-            numbers, back = distinct(number[at])
-            begin, end = ptr.access(numbers).astype(np.int64)[back], ptr.access(numbers + 1).astype(np.int64)[back]
-            own = number[at] < self.local
-            some = own & (end > begin)
-            rest[ok[at[some]]] = restore(passes[number[at[some]]])
-            w = word[ok[at]]
-            asked = np.flatnonzero((w >= 0) & (end > begin))
-            key = begin[asked].astype(np.uint64) * np.uint64(self.types) + w[asked].astype(np.uint64) * (end - begin)[asked].astype(np.uint64)
-            found = following.find(key)
-            hit = found >= 0
-            to = ok[at[asked[hit]]]
-            place[to] = found[hit] + self.bases[s]
-            p[to] = restore(code[found[hit]])
-        return place, p, rest
+            numbers, back = distinct(number[a:b])
+            begin, end = (x.astype(np.int64) for x in ptr.access_two(numbers))
+            own = int(np.searchsorted(number[a:b], self.local))
+            rest[a : a + own] = np.where(end > begin, restore(passes[numbers]), 1.0)[back[:own]]
+            begin, size, w = begin[back], (end - begin)[back], word[a:b]
+            asked = np.flatnonzero((w >= 0) & (size > 0))
+            found = following.find((begin[asked] * self.types + w[asked] * size[asked]).astype(np.uint64))
+            hit = np.flatnonzero(found >= 0)
+            to, found = a + asked[hit], found[hit]
+            place[to] = found + self.bases[s]
+            p[to] = restore(code[found])
+        return order, place, p, rest
 
 
 class Model:
@@ -247,32 +257,36 @@ class Model:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.levels = lexicon, []
 
-    def grams(self, ids: np.ndarray, lengths: np.ndarray, p: np.ndarray | None = None) -> tuple[np.ndarray | None, list[np.ndarray]]:
-        """p of every token by all levels, and for each level the places of the k-grams that end at it.
+    def grams(self, tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, p: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """p of every token by all levels, and the context of every token for the level after: labels, and their places.
 
-        ids: the tokens of texts, one after another, -1 for unknown ones. p: theirs by level 1; without it places alone.
+        tokens: places in ids, of texts one after another; ids ascend but for -1, an unknown word. p: that by level 1.
+        Labels ascend with places but for those of unknown contexts.
         """
-        x = self.lexicon
         begins = np.cumsum(lengths) - lengths
-        context = np.empty_like(ids)  # the token before, the start of a text having the number behind all ids
-        context[1:] = ids[:-1]
-        context[begins] = x.types
-        places = [ids]
-        parent = context
-        for k, level in enumerate(self.levels):
-            if k:  # the place of the gram before: that of level k+1 that ends at the token before
-                parent = np.full(len(ids), -1, np.int64)
-                parent[1:] = places[-1][:-1]
-                parent[begins] = -1
-            order = sorted_by(parent, ids, x.types + 1)
-            before, word = parent[order], ids[order]
-            first = np.append(True, (before[1:] != before[:-1]) | (word[1:] != word[:-1]))
-            found, part, rest = level.look(before[first], word[first])
-            back = np.empty(len(ids), np.int64)
-            back[order] = np.cumsum(first) - 1
+        label = np.empty_like(tokens)  # the token before, the start of a text having the number behind all ids
+        label[1:] = tokens[:-1]
+        label[begins] = len(ids)
+        parents = np.append(ids, self.lexicon.types)
+        for level in self.levels:
+            order, first = grouped(label, tokens, len(parents), len(ids))
+            at = order[first]
+            moved, place, part, rest = level.look(parents[label[at]], ids[tokens[at]])
+            back, to = np.empty_like(tokens), np.empty_like(moved)
+            to[moved] = np.arange(len(moved))
+            back[order] = np.repeat(to, np.diff(np.append(first, len(order))))
             p = p if p is None else part[back] + rest[back] * p
-            places.append(found[back])
-        return p, places
+            label[1:] = back[:-1]  # the gram that ends at the token before
+            label[begins] = len(place)
+            parents = np.append(place, -1)
+        return p, label, parents
+
+
+def _parts(shard: np.ndarray, order: np.ndarray):
+    """Each shard, with the places of its rows; order sorts them by shard."""
+    cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        yield int(shard[order[a]]), order[a:b]
 
 
 def narrow(x: np.ndarray, end: int) -> np.ndarray:
@@ -288,45 +302,144 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.cumsum(first) - 1
 
 
-def sorted_by(major: np.ndarray, minor: np.ndarray, width: int) -> np.ndarray:
-    """The order by (major, minor), of -1 and up and of -1 to width - 1; one number for both where that fits."""
-    if len(major) and (int(major.max()) + 2) * (width + 1) < 2**63:
-        return np.argsort((major.astype(np.int64) + 1) * (width + 1) + minor.astype(np.int64) + 1)
-    return np.lexsort((minor, major))
+def grouped(major: np.ndarray, minor: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (major, minor), numbers below n and m, and where in it each different pair begins."""
+    bits = len(major).bit_length()
+    if n * m << bits < 2**63:  # the pair and its place in one number: numpy sorts numbers faster than their order
+        key = (major * m + minor) << bits | np.arange(len(major))
+        key.sort()
+        order = key & ((1 << bits) - 1)
+        key >>= bits
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((minor, major))
+        new = np.diff(major[order]).astype(bool) | np.diff(minor[order]).astype(bool)
+    return order, np.flatnonzero(np.append(True, new)[: len(order)])
 
 
 def held_out():
     return F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _tokens(batches, least: int):
-    """doc_ids, words and lengths of runs of documents of at least so many tokens."""
-    ids, words, lengths = [], [], []
+class Coded(NamedTuple):
+    """Documents as chunks in files. chunks has uri and the file's number, which runs without many gaps up to files."""
+
+    chunks: DataFrame
+    files: int
+    documents: int
+
+    def dealt(self) -> DataFrame:
+        """The files' names, for tasks of TASK_CHUNKS of them."""
+        n = max(1, -(-self.files // TASK_CHUNKS))
+        return self.chunks.repartitionById(n, (F.col("number") % n).cast("int")).select("uri")
+
+
+class Chunk(NamedTuple):
+    """Whole documents: doc_id and whether it is there, held_out, number of tokens; sorted hashes of words; tokens as places in these."""
+
+    doc_id: np.ndarray
+    valid: np.ndarray
+    held_out: np.ndarray
+    lengths: np.ndarray
+    words: np.ndarray
+    tokens: np.ndarray
+
+    def pack(self) -> bytes:
+        press = zstandard.ZstdCompressor(level=1).compress
+        low, high = self.tokens.astype(np.uint16), (self.tokens >> 16).astype(np.uint16)
+        parts = self.doc_id, self.valid, self.held_out, self.lengths, np.diff(self.words, prepend=np.uint64(0)), low, high
+        return pickle.dumps([press(x.tobytes()) for x in parts])
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Chunk:
+        grow = zstandard.ZstdDecompressor().decompress
+        kinds = np.int64, bool, bool, np.int64, np.uint64, np.uint16, np.uint16
+        doc_id, valid, held, lengths, words, low, high = (np.frombuffer(grow(x), k) for x, k in zip(pickle.loads(data), kinds, strict=True))
+        return cls(doc_id, valid, held, lengths, np.cumsum(words, dtype=np.uint64), low.astype(np.int64) | high.astype(np.int64) << 16)
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and lengths of the documents in training."""
+        use = ~self.held_out
+        return self.tokens[np.repeat(use, self.lengths)], self.lengths[use]
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts, and their number in each; only A-Z change and only ASCII white space parts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    parent = pc.list_parent_indices(lists).to_numpy()[some.to_numpy(zero_copy_only=False)]
+    return words.filter(some), np.bincount(parent, minlength=len(texts))
+
+
+def _chunks(batches, least: int):
+    """Chunks of so many tokens or LONG times as many bytes at least, and the last. Columns: doc_id, text (null: empty), held_out."""
+
+    def chunk(parts):
+        ids, held, words, n = zip(*parts, strict=True)
+        ids, lengths = pa.concat_arrays(ids), np.concatenate(n) + 1
+        coded = pa.concat_arrays(words).dictionary_encode()
+        hashes, place = np.unique(digests([*coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), END]), return_inverse=True)
+        tokens = np.full(int(lengths.sum()), place[-1])
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        tokens[inner] = place[coded.indices.to_numpy()]
+        return Chunk(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), pa.concat_arrays(held).to_numpy(zero_copy_only=False), lengths, hashes, tokens)
+
+    parts, total, weight = [], 0, 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            w = words_of(t.as_py())
-            ids.append(i)
-            words += w
-            lengths.append(len(w))
-            if len(words) >= least:
-                yield ids, words, np.array(lengths, np.int64)
-                ids, words, lengths = [], [], []
-    if ids:
-        yield ids, words, np.array(lengths, np.int64)
+        ids, texts, held = b.columns
+        # Pieces of so many bytes, which have half as many words at most, or of one text.
+        size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+        a = 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + least, side="right")))
+            words, n = _split(texts[a:z])
+            parts.append((ids[a:z], held[a:z], words, n))
+            total += int(n.sum()) + z - a
+            weight += int(size[z - 1]) - (int(size[a - 1]) if a else 0)
+            a = z
+            if total >= least or weight >= LONG * least:
+                yield chunk(parts)
+                parts, total, weight = [], 0, 0
+    if parts:
+        yield chunk(parts)
+
+
+def encode(docs: DataFrame) -> Coded:
+    """Split all texts into words and store what every later pass reads."""
+    folder = scratch(docs.sparkSession, "tokens")
 
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for k, x in enumerate(_chunks(batches, BUFFER_TOKENS)):
+            # A name of its own: only the files that a task names when it ends well are read.
+            uri = f"{folder}/{uuid.uuid4().hex}"
+            put_bytes(uri, x.pack())
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([task], pa.int64()), pa.array([k], pa.int64()), pa.array([len(x.lengths)], pa.int64())], names=["uri", "task", "k", "documents"])
 
-def _lexicon(docs: DataFrame, folder: str) -> tuple[Lexicon, list[int]]:
-    bits = max(0, (max(1, docs.select("doc_id").count()) // SHARD_DOCS).bit_length())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held"))
+    made = cut(rows.mapInArrow(run, "uri string, task long, k long, documents long"))
+    files, documents, tasks = made.agg(F.count("*"), F.sum("documents"), F.max("task") + 1).first()
+    return Coded(made.select("uri", (F.floor(F.col("task") * files / (tasks or 1)) + F.col("k")).alias("number")), files, documents or 0)
+
+
+def _read(batches):
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            yield Chunk.unpack(get_bytes(uri))
+
+
+def _lexicon(docs: Coded, folder: str) -> tuple[Lexicon, list[int]]:
+    bits = max(0, (max(1, docs.documents) // SHARD_DOCS).bit_length())
 
     def count(batches):
-        from collections import Counter
-
-        for _, words, _ in _tokens(batches, BUFFER_TOKENS // 2):
-            seen = Counter(words)
-            h = np.array([digest(w) for w in seen], np.uint64)
-            c = np.fromiter(seen.values(), np.int64, len(seen))
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
+        for x in _read(batches):
+            tokens, _ = x.training()
+            if not len(tokens):
+                continue
+            c = np.bincount(tokens, minlength=len(x.words))
+            h, c = x.words[c > 0], c[c > 0]
             yield _runs((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), h, c)
 
     def merge(batches):
@@ -342,7 +455,7 @@ def _lexicon(docs: DataFrame, folder: str) -> tuple[Lexicon, list[int]]:
 
         yield from _by_shard(batches, build)
 
-    runs = docs.where(~held_out()).select("doc_id", "text").mapInArrow(count, RUN)
+    runs = docs.dealt().mapInArrow(count, RUN)
     figures = cut(runs.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, n long, total long, top array<long>, top_n array<long>")).collect()
     by = {r.shard: r for r in figures}
     sizes = [by[s].n if s in by else 0 for s in range(1 << bits)]
@@ -352,7 +465,7 @@ def _lexicon(docs: DataFrame, folder: str) -> tuple[Lexicon, list[int]]:
     return lexicon, sorted(bases[r.shard] + i for r in figures for i, n in zip(r.top, r.top_n, strict=True) if n > lexicon.tokens / (4 * n_shards))
 
 
-def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents: int) -> list[int]:
+def _level(docs: Coded, model: Model, folder: str, hot: list[int], parents: int) -> list[int]:
     """Count and write the next level of the model; returns the parents that are hot in the one after it."""
     k, types, tokens = len(model.levels) + 2, model.lexicon.types, model.lexicon.tokens
     n_shards = max(1, -(-tokens // SHARD_TOKENS))
@@ -360,29 +473,26 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
     numbers = level.local + len(hot)
     if numbers * types >= 2**63:
         raise ValueError("a shard's keys exceed 63 bits: raise the number of shards")
-    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, level)))
+    spark = docs.chunks.sparkSession
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((model, level)))
 
     def count(batches):
         model, level = pickle.loads(sent.value)
-        for _, words, lengths in _tokens(batches, BUFFER_TOKENS):
-            ids = model.lexicon.ids(words)
-            begins = np.cumsum(lengths) - lengths
-            if k == 2:
-                parent = np.empty_like(ids)
-                parent[1:] = ids[:-1]
-                parent[begins] = types
-            else:
-                _, places = model.grams(ids, lengths)
-                parent = np.full(len(ids), -1, np.int64)
-                parent[1:] = places[-1][:-1]
-                parent[begins] = -1
-            ok = (parent >= 0) & (ids >= 0)
-            shard, number = level.place(parent[ok], ids[ok])
-            key = number.astype(np.uint64) * np.uint64(types) + ids[ok].astype(np.uint64)
-            order = sorted_by(shard, key, numbers * types)
-            shard, key = shard[order], key[order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, int)
-            yield _runs(shard[first], key[first], np.diff(np.append(first, len(key))))
+        for x in _read(batches):
+            tokens, lengths = x.training()
+            if not len(tokens):
+                continue
+            ids = model.lexicon.find(x.words)
+            _, label, parents = model.grams(tokens, ids, lengths)
+            order, first = grouped(label, tokens, len(parents), len(ids))
+            c = np.diff(np.append(first, len(order)))
+            parent, word = parents[label[order[first]]], ids[tokens[order[first]]]
+            ok = (parent >= 0) & (word >= 0)
+            word = word[ok]
+            shard, number = level.place(parent[ok], word)
+            order = level.order(shard, number)
+            key = number.astype(np.uint64) * np.uint64(types) + word.astype(np.uint64)
+            yield _runs(shard[order], key[order], c[ok][order])
 
     def merge(batches):
         def build(s, runs):
@@ -401,7 +511,7 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
 
         yield from _by_shard(batches, build)
 
-    runs = docs.where(~held_out()).select("doc_id", "text").mapInArrow(count, RUN)
+    runs = docs.dealt().mapInArrow(count, RUN)
     dealt = runs.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard")
     figures = cut(dealt.mapInArrow(merge, "shard int, n long, seen array<long>, sums array<long>, top array<long>, top_n array<long>")).collect()
     seen = np.array([r.seen for r in figures]).sum(axis=0) if figures else np.zeros(4)
@@ -434,7 +544,6 @@ def _level(docs: DataFrame, model: Model, folder: str, hot: list[int], parents:
                 put_bytes(f"{folder}/level-{k}-{s}", ef.pack(ptr_arrays | next_arrays | {"code": quantise((c - off) / total[number]), "rest": quantise(rest)}, **ptr_meta, **next_meta))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
 
-    spark = docs.sparkSession
     if figures:
         todo = spark.createDataFrame([(s,) for s in sorted(by)], "shard int").repartitionById(min(n_shards, 1000), F.col("shard") % min(n_shards, 1000))
         cut(todo.mapInArrow(finish, "shard int"))
@@ -453,9 +562,10 @@ def discounts(seen) -> np.ndarray:
     return np.array([min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1)])
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame | Coded, order: int = 2) -> Model:
     """The model of all documents outside the held-out fifth."""
-    folder = scratch(docs.sparkSession, "ngrams")
+    docs = docs if isinstance(docs, Coded) else encode(docs)
+    folder = scratch(docs.chunks.sparkSession, "ngrams")
     lexicon, hot = _lexicon(docs, folder)
     model = Model(lexicon)
     for _ in range(order - 1):
@@ -464,23 +574,23 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame | Coded, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    docs = docs if isinstance(docs, Coded) else encode(docs)
+    sent = docs.chunks.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches):
         model = pickle.loads(sent.value)
         x = model.lexicon
-        for ids, words, lengths in _tokens(batches, SCORE_TOKENS):
-            numbers = x.ids(words)
-            begins = np.cumsum(lengths) - lengths
-            c = x.counts(numbers)
+        for d in _read(batches):
+            begins = np.cumsum(d.lengths) - d.lengths
+            ids = x.find(d.words)
+            c = x.counts(ids)
             own = (c + 0.5) / (x.tokens + 0.5 * (x.types + 1))
-            base = np.add.reduceat(np.log10(own), begins)
-            p, _ = model.grams(numbers, lengths, own)
-            known = np.add.reduceat((c > 0).astype(np.int64), begins)
-            cols = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), x.tokens)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), begins))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+            base = np.add.reduceat(np.log10(own)[d.tokens], begins)
+            p, _, _ = model.grams(d.tokens, ids, d.lengths, own[d.tokens])
+            known = np.add.reduceat((c > 0).astype(np.int64)[d.tokens], begins)
+            cols = [pa.array(d.doc_id, mask=~d.valid), pa.array(d.held_out), pa.array(d.lengths), pa.array(known), pa.array(np.full(len(known), x.tokens)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), begins))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return docs.dealt().mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

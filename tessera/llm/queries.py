@@ -83,9 +83,9 @@ def op5_reply_trees(spark, sf_dir):
 
 
 def op6_ngram_trie(spark, sf_dir):
-    from tessera.llm.ngrams import score, train
+    from tessera.llm.ngrams import encode, score, train
 
-    docs = table(spark, sf_dir, "documents")
+    docs = encode(table(spark, sf_dir, "documents"))
     return score(docs, train(docs, order=3))
 
 

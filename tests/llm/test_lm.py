@@ -124,3 +124,82 @@ def test_steps_of_scoring_equal_the_plain_ones():
     known = ngrams.Known({b"a": 5})
     known.new = []
     assert [known[w] for w in (b"x", b"a", b"y", b"x")] == [-2, 5, -3, -2] and known.new == [b"x", b"y"]
+
+
+def test_query_splits_each_text_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import queries
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, table = F.udf(passed, "string"), queries.table
+    monkeypatch.setattr(queries, "table", lambda *a: table(*a).withColumn("text", plain("text")))
+    assert len(queries.op6_ngram_trie(spark, str(tmp_path)).collect()) == 60
+    assert seen.value == 60
+
+
+def batches_of(rows, size):
+    import pyarrow as pa
+
+    for a in range(0, len(rows), size):
+        ids, texts, held = zip(*rows[a : a + size], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array(held)], names=["doc_id", "text", "held"])
+
+
+def test_chunks_hold_all_words_in_order():
+    from tessera.llm import ngrams
+
+    odd = "".join(chr(c) for c in range(0x300)) + " \u2003x\u0085y\u3000\U0001f600Z "
+    rows = [(1, "", False), (None, odd, True), (2, " \t\x0b\x0c\r\n ", False), (3, "A  b\x1cB a", True), (3, odd[::-1], False), *((i, f"w{i % 9} É W{i % 5}" * (i % 4), i % 5 == 1) for i in range(90))]
+    for least, size in ((1, 7), (40, 1000), (10**6, 33)):
+        chunks = [ngrams.Chunk.unpack(x.pack()) for x in ngrams._chunks(batches_of(rows, size), least)]
+        assert (len(chunks) > 1) == (least < 10**6)
+        got = []
+        for x in chunks:
+            ends = np.cumsum(x.lengths)
+            got += [(int(i) if v else None, x.words[x.tokens[e - n : e]].tolist(), bool(h)) for i, v, h, n, e in zip(x.doc_id, x.valid, x.held_out, x.lengths, ends, strict=True)]
+            tokens, lengths = x.training()
+            assert len(tokens) == lengths.sum() == x.lengths[~x.held_out].sum()
+        assert got == [(i, ngrams.digests([*t.encode().lower().split(), ngrams.END]).tolist(), h) for i, t, h in rows]
+    # Few but long words end a chunk too.
+    assert len(list(ngrams._chunks(batches_of([(i, "x" * 1000, False) for i in range(64)], 9), 1000))) == 4
+
+
+def test_pairs_are_grouped_alike_in_one_number_and_in_two():
+    from tessera.llm import ngrams
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        major, minor = rng.integers(0, 9, n), rng.integers(0, 7, n)
+        for room in (9, 2**62):
+            order, first = ngrams.grouped(major, minor, room, 7)
+            assert order.tolist() == np.lexsort((minor, major)).tolist()
+            pairs = list(zip(major[order].tolist(), minor[order].tolist(), strict=True))
+            assert first.tolist() == [i for i, x in enumerate(pairs) if not i or x != pairs[i - 1]]
+
+
+def test_runs_longer_than_a_word():
+    x = np.array([*range(5, 400, 3), 1 << 40], np.uint64)  # all but one share their high bits
+    s = eliasfano.Sequence(*eliasfano.build(x, 1 << 41, "s"), "s")
+    assert s.find(np.arange(420)).tolist() == [(v - 5) // 3 if 5 <= v < 400 and v % 3 == 2 else -1 for v in range(420)]
+    y = np.sort(np.append(np.random.default_rng(1).integers(0, 90_000, 900), [7] * 200)).astype(np.uint64)
+    for room in (90_001, 2**50):
+        s = eliasfano.Sequence(*eliasfano.build(y, room, "s"), "s")
+        a, b = s.access_two(np.arange(len(y) - 1))
+        assert a.tolist() == y[:-1].tolist() and b.tolist() == y[1:].tolist()
+
+
+def test_words_are_found_by_hash_as_by_name(spark, monkeypatch):
+    from tessera.llm import ngrams
+
+    monkeypatch.setattr(ngrams, "SHARD_DOCS", 20)
+    model = ngrams.train(spark.createDataFrame([(i, f"a b{i} c{i % 9}") for i in range(100)], "doc_id long, text string"), 2)
+    words = [b"a", b"none", b"\n", *(b"b%d" % i for i in range(100)), b"a"]
+    assert len(model.lexicon.uris) > 2
+    assert model.lexicon.ids(words).tolist() == model.lexicon.find(ngrams.digests(words)).tolist()
